@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, common, fingerprints, packing, token_counts, token_files
+from weftline.llm import byte_bpe, common, fingerprints, language, media, packing, token_counts, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +28,20 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(common.documents(spark, sf_dir))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(common.documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op4_token_counts, op5_fingerprints, op7_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op4_token_counts, op5_fingerprints, op7_byte_bpe, op8_media, op9_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
