@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, common, fingerprints, language, media, packing, quality, token_counts, token_files
+from weftline.llm import byte_bpe, common, fingerprints, language, media, near_dedup, packing, quality, token_counts, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(common.documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -45,7 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality, op4_token_counts, op5_fingerprints, op7_byte_bpe, op8_media, op9_language, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_near_dedup, op4_token_counts, op5_fingerprints, op7_byte_bpe, op8_media, op9_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
