@@ -98,3 +98,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         seen = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def keep_rows(docs: DataFrame, prepare) -> DataFrame:
+    """docs, all columns as they are, without the rows that a test rejects.
+
+    prepare() is called once in each task and returns the test: Arrow batch to booleans, in the batch's order.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        test = prepare()
+        for b in batches:
+            yield b.filter(pa.array(test(b), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

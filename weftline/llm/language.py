@@ -180,6 +180,15 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
 _labellers: dict[int, Labeller] = {}
 
 
+def labeller(blob: bytes) -> Labeller:
+    """The labeller of a pickled model, made once for each worker."""
+    key = hash(blob)
+    if key not in _labellers:
+        _labellers.clear()
+        _labellers[key] = Labeller(pickle.loads(blob))
+    return _labellers[key]
+
+
 def languages(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score and spans of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -187,12 +196,7 @@ def languages(docs: DataFrame, model: dict) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = sent.value
-        key = hash(blob)
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(pickle.loads(blob))
-        label = _labellers[key].label
+        label = labeller(sent.value).label
         for b in batches:
             rows = [label(t) for t in b.column("text").to_pylist()]
             spans = pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in r[2]] for r in rows], span)
@@ -205,3 +209,19 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and n_spans of every document."""
     found = languages(docs, learn(docs, sample_rows))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """docs without those whose language is unknown or labels less than a share of their letters."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def prepare():
+        label = labeller(sent.value).label
+
+        def test(b: pa.RecordBatch) -> list[bool]:
+            found = (label(t or "") for t in b.column("text").to_pylist())
+            return [lang != UNKNOWN and score >= least for lang, score, _ in found]
+
+        return test
+
+    return common.keep_rows(docs, prepare)

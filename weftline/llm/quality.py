@@ -131,8 +131,8 @@ def columns(docs: DataFrame) -> DataFrame:
 
 
 def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text, source, lang, n = (b.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars"))
-    return np.array([content_features(t) for t in text]).reshape(-1, CONTENT + 4), np.array([meta_features(*r) for r in zip(source, lang, n)]).reshape(-1, META)
+    text, source, lang, n = (b.column(c).to_pylist() if c in b.schema.names else [None] * b.num_rows for c in ("text", "source", "lang", "n_chars"))
+    return np.array([content_features(t or "") for t in text]).reshape(-1, CONTENT + 4), np.array([meta_features(*r) for r in zip(source, lang, n)]).reshape(-1, META)
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[dict | None, float]:
@@ -174,3 +174,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     scored = columns(docs).mapInArrow(run, "doc_id long, content_score double, meta_score double, score double")
     return scored.withColumn("keep", (F.col("score") >= threshold) if model else F.lit(True))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that score below the threshold."""
+    model, _ = learn(docs, labels)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return common.keep_rows(docs, lambda: lambda b: (score(sent.value, *_features(b))[2] >= threshold).tolist())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, common, fingerprints, language, media, near_dedup, packing, quality, token_counts, token_files
+from weftline.llm import byte_bpe, common, fingerprints, language, media, near_dedup, packing, quality, substring_dedup, token_counts, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(common.documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(common.documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_near_dedup, op4_token_counts, op5_fingerprints, op7_byte_bpe, op8_media, op9_language, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_near_dedup, op4_token_counts, op5_fingerprints, op6_substring_dedup, op7_byte_bpe, op8_media, op9_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
