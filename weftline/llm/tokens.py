@@ -13,15 +13,22 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces a worker keeps at most, and the longest piece it keeps; both bound the cache, not the results.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 900_000, 48
 
 _loose = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
+#: Latin letters only: one pre-token after a space.
+_plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: Both vocabularies split a Latin word from marks that follow it, so the two parts can be met separately.
+_marks = ".,;:!?*&%$#|()[]\""
 _loaded: dict[str, object] = {}
+_edges: dict[str, tuple[bool, np.ndarray] | None] = {}
 _caches: dict[tuple, tuple[dict, dict]] = {}
 
 
@@ -42,14 +49,28 @@ def pieces(text: str) -> list[str]:
     return _cut.split(text) if _loose.search(text) else text.split(" ")
 
 
-def as_bytes(encoding) -> bytes:
+def as_bytes(ids: bytes) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
-    a = array("I", encoding.ids)
-    return a.tobytes()
+    return ids
+
+
+def as_length(ids: bytes) -> int:
+    return len(ids) // 4
 
 
-def as_length(encoding) -> int:
-    return len(encoding.ids)
+def _bytes(encoding) -> bytes:
+    return array("I", encoding.ids).tobytes()
+
+
+def _word_edges(tokenizer) -> tuple[bool, np.ndarray] | None:
+    """Which ids begin a word after a space (False), or end a word (True); None if the vocabulary marks neither."""
+    words = tokenizer.get_vocab()
+    for at_end, mark in ((False, "\u0120"), (True, "</w>")):
+        edges = np.zeros(max(words.values()) + 1, bool)
+        edges[[i for w, i in words.items() if (w.endswith(mark) if at_end else w.startswith(mark))]] = True
+        if edges.sum() > 1000:
+            return at_end, edges
+    return None
 
 
 class PieceEncoder:
@@ -57,17 +78,50 @@ class PieceEncoder:
 
     def __init__(self, path: str, value: Callable, join: Callable[[Iterable], object], known: dict | None = None, key: str = "") -> None:
         self.tokenizer, self.value, self.join, self.known = load(path), value, join, known or {}
+        self.edges = _edges.setdefault(path, _word_edges(self.tokenizer)) if path not in _edges else _edges[path]
+        #: whether the vocabulary doesn't tell capitals from small letters
+        self.folds = all(self.tokenizer.encode(a, add_special_tokens=False).ids == self.tokenizer.encode(a.lower(), add_special_tokens=False).ids for a in ("A", "\u00c9", "Ab"))
         self.head, self.tail = _caches.setdefault((path, value.__name__, key), ({}, dict(self.known)))
 
     def _add(self, cache: dict, wanted: set[str], prefix: str) -> list[str]:
         """Put the wanted pieces that are missing into the cache; returns those too long to stay there."""
-        new = [p for p in wanted if p not in cache]
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
+        new, halves = [p for p in wanted if p not in cache], []
+        if prefix:
+            whole = []
+            for p in new:
+                w = p.rstrip(_marks)
+                base = w.lower() if self.folds else w
+                if base != p and _plain(w):
+                    halves.append((p, base, p[len(w) :]))
+                else:
+                    whole.append(p)
+            new = list({*whole, *(w for _, w, _ in halves if w not in cache)})
+            self._add(self.head, {m for _, _, m in halves if m}, "")
+        words = [p for p in new if _plain(p)] if prefix and self.edges else []
+        for i in range(0, len(words), 512):  # one call for many words costs less than as many calls
+            self._add_words(cache, words[i : i + 512])
+        rest = [p for p in new if p not in cache]
+        for i in range(0, len(rest), 2048):
+            part = rest[i : i + 2048]
             found = self.tokenizer.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
-            cache.update(zip(part, map(self.value, found)))
+            cache.update(zip(part, map(self.value, map(_bytes, found))))
+        for p, w, m in halves:
+            cache[p] = cache[w] + self.head[m] if m else cache[w]
+        new += [p for p, _, _ in halves]
         return [p for p in new if len(p) > CACHE_CHARS]
 
+    def _add_words(self, cache: dict, words: list[str]) -> None:
+        """Encode words with spaces between, and cut the ids where the vocabulary marks the words' edges."""
+        ids = _bytes(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0])
+        at_end, edges = self.edges
+        at = np.flatnonzero(edges[np.frombuffer(ids, "<u4")])
+        if len(at) == len(words):
+            ends = ((at + 1) * 4 if at_end else np.append(at[1:] * 4, len(ids))).tolist()
+            start = 0
+            for w, end in zip(words, ends):
+                cache[w] = self.value(ids[start:end])
+                start = end
+
     def __call__(self, texts: list[str]) -> list:
         """The joined value of each text, in order."""
         if len(self.tail) + len(self.head) > CACHE_PIECES + len(self.known):
@@ -84,7 +138,7 @@ class PieceEncoder:
         out, head, tail = [], self.head, self.tail.__getitem__
         for t, c in zip(texts, cut):
             if c is None:
-                out.append(self.value(self.tokenizer.encode(t, add_special_tokens=False)))
+                out.append(self.value(_bytes(self.tokenizer.encode(t, add_special_tokens=False))))
             else:
                 out.append(self.join([head[c[0]], *map(tail, c[1:])]))
         for p in long:
