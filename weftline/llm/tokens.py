@@ -19,14 +19,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Pieces a worker keeps at most, and the longest piece it keeps; both bound the cache, not the results.
-CACHE_PIECES, CACHE_CHARS = 900_000, 48
+CACHE_PIECES, CACHE_CHARS = 1_600_000, 48
 
 _loose = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
-#: Latin letters only: one pre-token after a space.
-_plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
-#: Both vocabularies split a Latin word from marks that follow it, so the two parts can be met separately.
-_marks = ".,;:!?*&%$#|()[]\""
+#: A word of Latin letters and marks after it: both vocabularies split the two, so they can be met separately.
+_word = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?*&%$#|()\\[\\]\"]*)").fullmatch
+#: A character beyond those that lower() treats one by one.
+_beyond = re.compile("[^\x00-\u012f\u0131-\u024f]").search
 _loaded: dict[str, object] = {}
 _edges: dict[str, tuple[bool, np.ndarray] | None] = {}
 _caches: dict[tuple, tuple[dict, dict]] = {}
@@ -85,30 +85,36 @@ class PieceEncoder:
 
     def _add(self, cache: dict, wanted: set[str], prefix: str) -> list[str]:
         """Put the wanted pieces that are missing into the cache; returns those too long to stay there."""
-        new, halves = [p for p in wanted if p not in cache], []
-        if prefix:
-            whole = []
+        new = rest = [p for p in wanted if p not in cache]
+        halves = []
+        if prefix and self.edges:
+            words, rest = set(), []
             for p in new:
-                w = p.rstrip(_marks)
-                base = w.lower() if self.folds else w
-                if base != p and _plain(w):
-                    halves.append((p, base, p[len(w) :]))
-                else:
-                    whole.append(p)
-            new = list({*whole, *(w for _, w, _ in halves if w not in cache)})
+                parts = _word(p)
+                if parts is None:
+                    rest.append(p)
+                    continue
+                w, m = parts.groups()
+                if self.folds:
+                    w = w.lower()
+                if w != p:
+                    halves.append((p, w, m))
+                    if w in cache:
+                        continue
+                words.add(w)
+            listed = list(words)
+            for i in range(0, len(listed), 512):  # one call for many words costs less than as many calls
+                self._add_words(cache, listed[i : i + 512])
+            rest += [w for w in listed if w not in cache]
+            new += listed
             self._add(self.head, {m for _, _, m in halves if m}, "")
-        words = [p for p in new if _plain(p)] if prefix and self.edges else []
-        for i in range(0, len(words), 512):  # one call for many words costs less than as many calls
-            self._add_words(cache, words[i : i + 512])
-        rest = [p for p in new if p not in cache]
         for i in range(0, len(rest), 2048):
             part = rest[i : i + 2048]
             found = self.tokenizer.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
             cache.update(zip(part, map(self.value, map(_bytes, found))))
         for p, w, m in halves:
             cache[p] = cache[w] + self.head[m] if m else cache[w]
-        new += [p for p, _, _ in halves]
-        return [p for p in new if len(p) > CACHE_CHARS]
+        return [p for p in {*new} if len(p) > CACHE_CHARS]
 
     def _add_words(self, cache: dict, words: list[str]) -> None:
         """Encode words with spaces between, and cut the ids where the vocabulary marks the words' edges."""
@@ -128,7 +134,7 @@ class PieceEncoder:
             self.head.clear()
             self.tail.clear()
             self.tail.update(self.known)
-        cut = [None if "<|" in t else pieces(t) for t in texts]
+        cut = [None if "<|" in t else pieces(t.lower() if self.folds and not _beyond(t) else t) for t in texts]
         tails: set[str] = set()
         for c in cut:
             if c:
