@@ -100,6 +100,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Ids that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that ids (doc_id, a table that is read again) names, as a scratch table.
+
+    Few ids are broadcast after counting them, so that the texts aren't shuffled; many are joined by doc_id.
+    """
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return materialize(docs.join(side, "doc_id", "left_semi").select("doc_id", "text"), "texts")
+
+
 def keep_rows(docs: DataFrame, prepare) -> DataFrame:
     """docs, all columns as they are, without the rows that a test rejects.
 
