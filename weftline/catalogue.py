@@ -1,6 +1,6 @@
 """Every registered query outside the training-data operators."""
 
-from weftline.operators import relational, text  # noqa: F401
+from weftline.operators import graph, ranking, relational, text, vectors  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

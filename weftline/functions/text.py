@@ -99,26 +99,32 @@ def normalise_anchor(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[ \t\n\r]+", " "), r"^[^a-z0-9]+|[^a-z0-9]+$", "")
 
 
-@F.pandas_udf("string")
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which the JVM functions lack; runs on Arrow batches."""
+def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("int")
-def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance with swaps of neighbours (optimal string alignment), which the JVM functions lack."""
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition, which the JVM functions lack; runs on Arrow batches."""
+    return F.pandas_udf(_nfkc, "string")(text)
+
+
+def _edits(s: str, t: str) -> int:
+    before, last = None, list(range(len(t) + 1))
+    for i, x in enumerate(s, 1):
+        row = [i]
+        for j, y in enumerate(t, 1):
+            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if before and j > 1 and x == t[j - 2] and s[i - 2] == y:
+                cost = min(cost, before[j - 2] + 1)
+            row.append(cost)
+        before, last = last, row
+    return last[-1]
 
-    def distance(s: str, t: str) -> int:
-        before, last = None, list(range(len(t) + 1))
-        for i, x in enumerate(s, 1):
-            row = [i]
-            for j, y in enumerate(t, 1):
-                cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-                if before and j > 1 and x == t[j - 2] and s[i - 2] == y:
-                    cost = min(cost, before[j - 2] + 1)
-                row.append(cost)
-            before, last = last, row
-        return last[-1]
-
-    return pd.Series([None if s is None or t is None else distance(s, t) for s, t in zip(a, b)], dtype="Int32")
+
+def _all_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None or t is None else _edits(s, t) for s, t in zip(a, b)], dtype="Int32")
+
+
+def damerau_levenshtein(a: Column, b: Column) -> Column:
+    """Edit distance with swaps of neighbours (optimal string alignment), which the JVM functions lack."""
+    return F.pandas_udf(_all_edits, "int")(a, b)
