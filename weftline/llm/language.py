@@ -151,7 +151,7 @@ class Labeller:
         words = [m.group() for m in found]
         s = self.scores(words)
         path = self.path(s)
-        told = np.ptp(s, axis=1) > 0
+        told = np.ptp(s, axis=1) > 0 if len(self.languages) > 1 else np.ones(len(s), bool)
         lengths = np.fromiter(map(len, words), np.float64, len(words))
         shares = np.bincount(path, weights=lengths * told, minlength=len(self.languages))
         if not shares.any():
