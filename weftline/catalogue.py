@@ -2,5 +2,7 @@
 
 from weftline.operators import graph, ranking, relational, text, vectors  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
+from weftline.sources import readers  # noqa: F401
+from weftline.streaming import jobs  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
