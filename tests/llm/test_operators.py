@@ -190,7 +190,11 @@ def test_language(spark, odd):
     assert label("und das schön nicht")[0] == "de" and label("that when this")[0] == "en" and label("мы не все")[0] == "ru"
     assert label("123 !")[0] == "und" and label("")[0] == "und"
     mixed = "the and of with that this when the and of with " + "это не так как мы все не так это " * 2
-    assert [s[2] for s in label(mixed)[2]] == ["en", "ru"]
+    who = language.Labeller(language.fit(train))
+    spans = who.spans(mixed, *who.label(mixed)[2:])
+    assert [s[2] for s in spans] == ["en", "ru"] and mixed[spans[1][0] :].startswith("это") and spans[0][0] == 0
+    found = language.languages(odd, language.fit(train)).collect()
+    assert all(len(r.spans) == r.n_spans for r in found)
     s = np.random.default_rng(1).normal(size=(60, 3)) * 6
     path = language.Labeller(language.fit(train)).path(s)
     cost = lambda p: s[np.arange(60), p].sum() - language.SWITCH * (np.diff(p) != 0).sum()

@@ -30,7 +30,7 @@ from weftline.llm import common
 #: Rows the model is fitted on at most: those of the least hashes of doc_id, spread evenly over the corpus.
 SAMPLE_ROWS = 3000
 #: n-gram lengths, n-grams kept for each language, the penalty of a switch (nats), words a worker keeps scores of.
-ORDERS, KEPT_GRAMS, SWITCH, CACHE_WORDS = (1, 2, 3), 20_000, 8.0, 400_000
+ORDERS, KEPT_GRAMS, SWITCH, CACHE_WORDS = (1, 2, 3), 20_000, 8.0, 1_000_000
 UNKNOWN = "und"
 #: Script ranges of letters, by their first and last code point.
 SCRIPTS = {
@@ -93,31 +93,48 @@ class Labeller:
     """Labels texts in one worker."""
 
     def __init__(self, model: dict) -> None:
-        self.languages, self.weights, self.candidates = model["languages"], model["weights"], model["candidates"]
+        self.languages, self.candidates = model["languages"], model["candidates"]
         self.usual = self.languages.index(model["usual"]) if self.languages else None
+        self.grams = {g: k for k, g in enumerate(model["weights"])}
+        self.weights = np.array([*model["weights"].values(), np.zeros(len(self.languages))]).reshape(-1, len(self.languages))
         self.index: dict[str, int] = {}
-        self.table = np.empty((1024, len(self.languages)))
-
-    def _score(self, word: str) -> np.ndarray:
-        """A word's scores, far below all others where its script rules a language out; all 0 if it tells nothing."""
-        may = self.candidates.get(script(word))
-        if may is None or not may.any():
-            return np.zeros(len(self.languages))
-        found = [self.weights[g] for g in grams(word) if g in self.weights]
-        out = np.sum(found, axis=0) / max(ORDERS) if found else np.zeros(len(self.languages))
-        return np.where(may, out, -1e3)
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Words by languages."""
+        #: For every word met: its scores, its length, and whether the scores tell anything.
+        self.table, self.lengths, self.told = np.empty((1024, len(self.languages))), np.empty(1024), np.empty(1024, bool)
+
+    def _add(self, words: list[str]) -> None:
+        """Scores of new words: means of their n-grams' weights, far below all others where the script rules a language out."""
+        first, last = len(self.index), len(self.index) + len(words)
+        if last > len(self.table):
+            self.table = np.resize(self.table, (2 * last, len(self.languages)))
+            self.lengths, self.told = np.resize(self.lengths, 2 * last), np.resize(self.told, 2 * last)
+        flat, starts, get, none = [], [], self.grams.get, len(self.weights) - 1
+        for w in words:
+            starts.append(len(flat))
+            flat.append(none)
+            flat += [get(g, none) for g in grams(w.lower())]
+        self.index.update(zip(words, range(first, last)))
+        s = np.add.reduceat(self.weights[flat], starts, axis=0) / max(ORDERS)
+        tells = np.ptp(s, axis=1) > 0
+        nothing = np.zeros(len(self.languages), bool)
+        for k, w in enumerate(words):
+            name = "latin" if w[0] <= "\u024f" else script(w)
+            may = self.candidates.get(name, nothing)
+            if not may.any():
+                s[k], tells[k] = 0, False
+            elif not may.all():
+                s[k][~may] = -1e3
+                tells[k] = True
+        self.table[first:last], self.lengths[first:last] = s, list(map(len, words))
+        self.told[first:last] = tells if len(self.languages) > 1 else True
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The rows of the words in the tables."""
         new = set(words).difference(self.index)
         if len(self.index) + len(new) > CACHE_WORDS:
             self.index, new = {}, set(words)
-        if (need := len(self.index) + len(new)) > len(self.table):
-            self.table = np.resize(self.table, (2 * need, len(self.languages)))
-        for w in new:
-            self.index[w] = k = len(self.index)
-            self.table[k] = self._score(w.lower())
-        return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+        if new:
+            self._add(list(new))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best language of every word, switches costing SWITCH each.
@@ -143,24 +160,25 @@ class Labeller:
             out[i - 1] = back[i, out[i]]
         return out
 
-    def label(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """(language, score, spans); a span is (start, end, language) in code points of the text."""
-        found = [m for m in _words.finditer(text)]
-        if not found or not self.languages:
-            return UNKNOWN, 0.0, []
-        words = [m.group() for m in found]
-        s = self.scores(words)
-        path = self.path(s)
-        told = np.ptp(s, axis=1) > 0 if len(self.languages) > 1 else np.ones(len(s), bool)
-        lengths = np.fromiter(map(len, words), np.float64, len(words))
-        shares = np.bincount(path, weights=lengths * told, minlength=len(self.languages))
+    def label(self, text: str) -> tuple[str, float, np.ndarray, list[int]]:
+        """(language, score, labels of the words, where runs of one language begin and end in them)."""
+        words = _words.findall(text)
+        if not words or not self.languages:
+            return UNKNOWN, 0.0, np.empty(0, np.int64), []
+        at = self.look_up(words)
+        path = self.path(self.table[at])
+        lengths = self.lengths[at]
+        shares = np.bincount(path, weights=lengths * self.told[at], minlength=len(self.languages))
+        edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(words)]
         if not shares.any():
-            return self.languages[self.usual], 0.0, []
-        turns = np.flatnonzero(np.diff(path)) + 1
-        edges = [0, *turns.tolist(), len(words)]
-        spans = [(found[a].start(), found[b - 1].end(), self.languages[path[a]]) for a, b in zip(edges, edges[1:])]
+            return self.languages[self.usual], 0.0, path, edges
         top = int(shares.argmax())
-        return self.languages[top], float(shares[top] / lengths.sum()), spans
+        return self.languages[top], float(shares[top] / lengths.sum()), path, edges
+
+    def spans(self, text: str, path: np.ndarray, edges: list[int]) -> list[tuple[int, int, str]]:
+        """(start, end, language) of every run, in code points of the text."""
+        found = [m.span() for m in _words.finditer(text)] if edges else []
+        return [(found[a][0], found[b - 1][1], self.languages[path[a]]) for a, b in zip(edges, edges[1:])]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -189,26 +207,29 @@ def labeller(blob: bytes) -> Labeller:
     return _labellers[key]
 
 
-def languages(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score and spans of every document."""
+def languages(docs: DataFrame, model: dict, offsets: bool = True) -> DataFrame:
+    """doc_id, lang_pred, score, n_spans, and with offsets the spans of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    out = "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
+    out = "doc_id long, lang_pred string, score double, n_spans int" + ", spans array<struct<start:int,end:int,lang:string>>" * offsets
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = labeller(sent.value).label
+        who = labeller(sent.value)
         for b in batches:
-            rows = [label(t) for t in b.column("text").to_pylist()]
-            spans = pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in r[2]] for r in rows], span)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), spans], ["doc_id", "lang_pred", "score", "spans"])
+            texts = b.column("text").to_pylist()
+            rows = [who.label(t) for t in texts]
+            columns = [b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([max(0, len(r[3]) - 1) for r in rows], pa.int32())]
+            if offsets:
+                columns.append(pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in who.spans(t, r[2], r[3])] for t, r in zip(texts, rows)], span))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "n_spans", "spans"][: len(columns)])
 
     return common.id_text(docs).mapInArrow(run, out)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and n_spans of every document."""
-    found = languages(docs, learn(docs, sample_rows))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    found = languages(docs, learn(docs, sample_rows), offsets=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
 def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -220,7 +241,7 @@ def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
 
         def test(b: pa.RecordBatch) -> list[bool]:
             found = (label(t or "") for t in b.column("text").to_pylist())
-            return [lang != UNKNOWN and score >= least for lang, score, _ in found]
+            return [lang != UNKNOWN and score >= least for lang, score, _, _ in found]
 
         return test
 
