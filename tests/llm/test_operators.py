@@ -244,6 +244,42 @@ def test_large_group_of_copies(spark):
     assert {r.class_id for r in rows} == {0}
 
 
+def test_chain_of_revisions_is_one_class(spark):
+    """Every revision is near the next ones only, in buckets larger than SMALL, where hubs match but a part of them."""
+    words, texts = prose(4, 400).split(), []
+    for k in range(40):
+        words[40 + 6 * k] = f"new{k}"
+        words[41 + 6 * k] = f"other{k}"
+        texts.append(" ".join(words))
+    h = [near_dedup.shingles.word_hashes(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.similarity(h[i], h[j]) >= near_dedup.THRESHOLD:
+                root = [root[j] if r == root[i] else r for r in root]
+    brute = {i: min(k for k in range(len(texts)) if root[k] == root[i]) for i in range(len(texts))}
+    assert dict((r.doc_id, r.class_id) for r in near_dedup.classes(table(spark, texts)).collect()) == brute
+    rows = spark.createDataFrame([(7, i) for i in range(len(texts))], "key long, id long")
+    got = near_dedup.links(rows, common.id_text(table(spark, texts)), near_dedup.THRESHOLD)
+    assert dict((r.node, r.root) for r in common.components(got).collect()) == brute
+
+
+def test_hubs_do_not_part_a_bucket(spark):
+    """One bucket: 13 is near 12 only, which the hubs among 0 to 11 match."""
+    base = prose(8, 200).split()
+    edit = lambda at: [w if i not in at else f"e{i}" for i, w in enumerate(base)]
+    first = list(range(60, 60 + 15, 5))
+    hubs = [edit([100 + k]) for k in range(12)]
+    middle, far = edit(first), edit([*first, *range(10, 10 + 15, 5), 140])
+    texts = [" ".join(t) for t in [*hubs, middle, far]]
+    rows = spark.createDataFrame([(7, i) for i in range(len(texts))], "key long, id long")
+    h = [near_dedup.shingles.word_hashes(t) for t in texts]
+    near = [i for i in range(13) if near_dedup.similarity(h[i], h[13]) >= near_dedup.THRESHOLD]
+    assert near == [12] and near_dedup.similarity(h[0], h[12]) >= near_dedup.THRESHOLD
+    got = near_dedup.links(rows, common.id_text(table(spark, texts)), near_dedup.THRESHOLD)
+    assert dict((r.node, r.root) for r in common.components(got).collect()) == {i: 0 for i in range(14)}
+
+
 def test_substring_dedup(spark, odd):
     passage = prose(77, 80)
     host = lambda k: prose(100 + k, 60)[:-1]
