@@ -294,6 +294,27 @@ def test_substring_dedup(spark, odd):
     assert substring_dedup.remove(odd).columns == odd.columns
 
 
+def test_passages_without_sentences(spark):
+    """Runs of 49 to 80 words in text without a full stop: what goes is what brute force over words finds."""
+    r = np.random.default_rng(3)
+    words = lambda n: [f"w{k}" for k in r.integers(0, 5000, n)]
+    texts, long = [], []
+    for n in (49, 51, 53, 56, 60, 66, 72, 80):
+        run = words(n)
+        long += [n >= substring_dedup.RUN] * 2
+        texts += [" ".join(words(150) + run + words(70)), " ".join(words(90) + run + words(130))]
+    want = {}
+    for i in range(1, len(texts), 2):
+        x, y = texts[i].split(), texts[i - 1].split()
+        have = {tuple(y[k : k + substring_dedup.RUN]) for k in range(len(y))}
+        gone = {m for k in range(len(x) - substring_dedup.RUN + 1) if tuple(x[k : k + substring_dedup.RUN]) in have for m in range(k, k + substring_dedup.RUN)}
+        if gone:
+            want[i] = " ".join(x[min(gone) : max(gone) + 1])
+    assert list(want) == [i for i in range(1, len(texts), 2) if long[i]]
+    rows = substring_dedup.passages(table(spark, texts)).collect()
+    assert {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in rows} == {i: [t] for i, t in want.items()}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = dict((r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect())
