@@ -114,3 +114,15 @@ def test_streams(spark, tmp_path):
     assert [r.n for r in run(jobs.daily_rollup(stream), "daily", "update")] == [4]
     assert max(r.n for r in run(jobs.counted_with_state(jobs.dedupe(stream, "event_id")), "counted", "update")) == 2
     assert jobs.fold_minute([r * __import__("pandas").Timedelta(seconds=1) for r in (0, 30, 61, 70)]) == [0, 0, 2, 2]
+
+
+def test_greedy_selection_goes_through_all_candidates(spark):
+    from weftline.operators.more import select_greedily
+    from weftline.plans.registry import tables
+    from weftline.plans.views import REVIEWS
+
+    tables(spark, DATA)
+    rows = spark.sql(f"WITH {REVIEWS} SELECT suggestion, host % 100 AS host, destination, score FROM reviews WHERE status = 'pending'")
+    brute = select_greedily(rows.toPandas())
+    got = catalogue.QUERIES["t10_greedy_selection"](spark, DATA)
+    assert sorted(r.suggestion for r in got.collect()) == sorted(brute["suggestion"])

@@ -139,10 +139,13 @@ def select_greedily(pdf: pd.DataFrame, per_host: int = 2) -> pd.DataFrame:
 
 @query("t10_greedy_selection")
 def t10(spark, sf_dir):
-    """One pass in order of score. Only the best three candidates of a destination reach it: destinations bound it."""
+    """One pass in order of score over the best candidate of each host and destination.
+
+    What keeps that one out (a full host, a reverse link, a destination that is taken) keeps the others of both out.
+    """
     tables(spark, sf_dir)
     rows = spark.sql(f"WITH {REVIEWS} SELECT suggestion, host % 100 AS host, destination, score FROM reviews WHERE status = 'pending'")
-    best = rows.withColumn("rn", F.row_number().over(Window.partitionBy("destination").orderBy(F.desc("score"), "suggestion"))).where("rn <= 3").drop("rn")
+    best = rows.withColumn("rn", F.row_number().over(Window.partitionBy("destination", "host").orderBy(F.desc("score"), "suggestion"))).where("rn = 1").drop("rn")
     return best.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: select_greedily(p), "suggestion long")
 
 
