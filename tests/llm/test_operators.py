@@ -229,14 +229,87 @@ def test_near_dedup(spark, odd):
         assert got[12 + k] == k
     assert got[18] == got[19] == 0 and all(got[k] == k for k in range(12))
     assert got[20] == 20 and got[21] == 21 and got[39] == 38
-    brute = lambda a, b: near_dedup.shingles.jaccard(*(near_dedup.shingles.kmers(near_dedup.shingles.word_hashes(t)) for t in (a, b)))
     h = near_dedup.shingles.word_hashes
-    assert abs(near_dedup.similarity(h(base[0]), h(edited[0])) - brute(base[0], edited[0])) < 0.02
+    n = len(h(base[0]))
+    assert near_dedup.similarity(h(base[0]), h(edited[0])) == (n - 1) / (n + 1)
     assert near_dedup.classes(odd.limit(0)).count() == 0
     kept = near_dedup.keep_first(odd)
     assert kept.columns == odd.columns and kept.where("text = 'same text'").count() == 1
 
 
+def longest(a, b):
+    """Words of the best alignment, by the table of all prefixes."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("rows", [4, 512])
+def test_alignment_is_the_best_one(monkeypatch, rows):
+    monkeypatch.setattr(near_dedup, "ROWS", rows)
+    r = np.random.default_rng(5)
+    for k in range(300):
+        a = r.integers(0, 3 + k % 40, r.integers(0, 60))
+        b = np.delete(a, r.integers(0, max(1, len(a)), r.integers(0, 5))) if len(a) else a
+        b = np.insert(b, r.integers(0, len(b) + 1, r.integers(0, 6)), 99) if k % 2 else np.roll(b, k % 3)
+        best = longest(a.tolist(), b.tolist())
+        assert near_dedup.aligned(a, b, 99) == best
+        want = best / (len(a) + len(b) - best) if len(a) + len(b) else 1.0
+        got = near_dedup.similarity(a, b)
+        assert got == want if want >= near_dedup.THRESHOLD else got < near_dedup.THRESHOLD
+
+
+@pytest.mark.parametrize(("words", "edits"), [(100, 3), (100, 5), (100, 9), (300, 15), (300, 30)])
+def test_recall_of_edited_copies(words, edits):
+    """Of copies with so many words replaced: near-duplicates by the definition, and how many of them share a band."""
+    r = np.random.default_rng(words + edits)
+    met = 0
+    for k in range(100):
+        a = r.integers(1, 1 << 62, words).astype(np.uint64)
+        b = a.copy()
+        b[r.choice(words, edits, replace=False)] = r.integers(1, 1 << 62, edits).astype(np.uint64)
+        assert near_dedup.similarity(a, b) >= near_dedup.THRESHOLD
+        met += bool(set(near_dedup.bands(a).tolist()) & set(near_dedup.bands(b).tolist()))
+    assert met >= 97
+
+
+def test_near_dedup_against_all_pairs(spark):
+    r = np.random.default_rng(11)
+    texts = []
+    for k in range(12):
+        words = prose(300 + k, int(r.integers(60, 200))).split()
+        texts.append(" ".join(words))
+        for _ in range(6):
+            copy = list(words)
+            for i in r.choice(len(words), int(r.integers(1, len(words) // 8)), replace=False):
+                copy[i] = f"z{r.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    h = [near_dedup.shingles.word_hashes(t).tolist() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            m = longest(h[i], h[j]) if i // 7 == j // 7 else 0
+            if m >= near_dedup.THRESHOLD * (len(h[i]) + len(h[j]) - m):
+                root = [root[j] if x == root[i] else x for x in root]
+    brute = {i: min(k for k in range(len(texts)) if root[k] == root[i]) for i in range(len(texts))}
+    got = dict((x.doc_id, x.class_id) for x in near_dedup.classes(table(spark, texts)).collect())
+    assert len(got) == len(texts) and sum(got[i] == brute[i] for i in brute) >= 0.95 * len(texts)
+    assert len(set(got.values())) < 0.5 * len(texts)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    docs = table(spark, [a], first=3).union(table(spark, [a], first=5)).union(table(spark, [b], first=5)).union(table(spark, [b], first=5))
+    assert sorted(map(tuple, near_dedup.classes(docs).collect())) == [(3, 3), (5, 3), (5, 5)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.keep_first(docs).collect()) == [(3, a), (5, b)]
+    nameless = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert near_dedup.classes(nameless).count() == 3 and near_dedup.keep_first(nameless).count() == 2
+
+
 def test_large_group_of_copies(spark):
     base = prose(1, 120).split()
     texts = [" ".join(w if i != 20 + k % 80 else f"x{k}" for i, w in enumerate(base)) for k in range(60)]
@@ -259,7 +332,7 @@ def test_chain_of_revisions_is_one_class(spark):
                 root = [root[j] if r == root[i] else r for r in root]
     brute = {i: min(k for k in range(len(texts)) if root[k] == root[i]) for i in range(len(texts))}
     assert dict((r.doc_id, r.class_id) for r in near_dedup.classes(table(spark, texts)).collect()) == brute
-    rows = spark.createDataFrame([(7, i) for i in range(len(texts))], "key long, id long")
+    rows = spark.createDataFrame([(7, i, len(h[i])) for i in range(len(texts))], "key long, id long, size int")
     got = near_dedup.links(rows, common.id_text(table(spark, texts)), near_dedup.THRESHOLD)
     assert dict((r.node, r.root) for r in common.components(got).collect()) == brute
 
@@ -268,12 +341,12 @@ def test_hubs_do_not_part_a_bucket(spark):
     """One bucket: 13 is near 12 only, which the hubs among 0 to 11 match."""
     base = prose(8, 200).split()
     edit = lambda at: [w if i not in at else f"e{i}" for i, w in enumerate(base)]
-    first = list(range(60, 60 + 15, 5))
+    first = list(range(60, 60 + 75, 5))
     hubs = [edit([100 + k]) for k in range(12)]
-    middle, far = edit(first), edit([*first, *range(10, 10 + 15, 5), 140])
+    middle, far = edit(first), edit([*first, *range(0, 60, 4), 140])
     texts = [" ".join(t) for t in [*hubs, middle, far]]
-    rows = spark.createDataFrame([(7, i) for i in range(len(texts))], "key long, id long")
     h = [near_dedup.shingles.word_hashes(t) for t in texts]
+    rows = spark.createDataFrame([(7, i, len(h[i])) for i in range(len(texts))], "key long, id long, size int")
     near = [i for i in range(13) if near_dedup.similarity(h[i], h[13]) >= near_dedup.THRESHOLD]
     assert near == [12] and near_dedup.similarity(h[0], h[12]) >= near_dedup.THRESHOLD
     got = near_dedup.links(rows, common.id_text(table(spark, texts)), near_dedup.THRESHOLD)

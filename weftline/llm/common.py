@@ -4,13 +4,59 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that one operator's caches hold in a worker, and what an entry takes beside its characters.
+CACHE_BYTES, ENTRY_BYTES = 112 << 20, 170
+_owners: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
+
+
+def cached_by(name: str, clear: Callable[[], None]) -> None:
+    """Name an owner of caches in the worker; clear() empties them."""
+    _owners[name] = clear
+
+
+def enter(name: str) -> None:
+    """A task of an owner begins: workers are used again by later stages, so the caches of all other owners go."""
+    if _owner != [name]:
+        for other, clear in _owners.items():
+            if other != name:
+                clear()
+        _owner[:] = [name]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+class Cache(dict):
+    """A dictionary by strings that is emptied before it holds more than CACHE_BYTES."""
+
+    held = 0
+
+    def make_room(self, new: set[str] | list[str]) -> bool:
+        """Count new entries in; whether all others had to go for them."""
+        more = sum(map(len, new)) + ENTRY_BYTES * len(new)
+        full = self.held + more > CACHE_BYTES and len(self) > 0
+        if full:
+            self.clear()
+        self.held += more
+        return full
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 #: Rows and bytes of one Arrow batch; whole texts are long, so few rows.
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
@@ -31,6 +77,28 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row for each doc_id, and None; where doc_ids repeat, numbers in their place, and what they stand for.
+
+    Numbers ascend with (doc_id, text), and the second table has them as doc_id beside own_id and text. Rows that are
+    alike in both are one row. Rows without a doc_id are left out.
+    """
+    one = id_text(docs).where("doc_id is not null")
+    if one.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return one, None
+    rows = one.distinct().orderBy("doc_id", "text").select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("own_id"), "text")
+    rows = materialize(rows, "numbered")
+    return rows.select("doc_id", "text"), rows
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings (dots as double underscores) while a block runs."""
@@ -115,6 +183,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: A Bloom filter keeps rows of keys met once from the shuffle. It has a fixed size; where more keys recur than it tells
+#: apart, it lets more rows through, and the join after it decides as before.
+BLOOM = {
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1t",
+    "spark__sql__optimizer__runtime__bloomFilter__expectedNumItems": "4000000",
+    "spark__sql__optimizer__runtime__bloomFilter__maxNumBits": str(1 << 26),
+}
+
 #: Ids that are broadcast at most (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 200_000
 

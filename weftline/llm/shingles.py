@@ -7,14 +7,23 @@ import re
 import numpy as np
 import xxhash
 
-#: Words of a shingle, and words whose hashes a worker keeps.
-K, CACHE_WORDS = 5, 600_000
+from weftline.llm import common
+
+#: Words of a shingle.
+K = 5
 _words = re.compile(r"\w+")
-_hashes: dict[str, int] = {}
-_ends: dict[str, int] = {}
+_hashes, _ends = common.Cache(), common.Cache()
 _powers = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(K)], np.uint64)
 
 
+def clear() -> None:
+    _hashes.clear()
+    _ends.clear()
+
+
+common.cached_by("shingles", clear)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -22,10 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _look_up(cache: dict[str, int], words: list[str], value) -> np.ndarray:
+def _look_up(cache: common.Cache, words: list[str], value) -> np.ndarray:
     new = set(words).difference(cache)
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
+    if cache.make_room(new):
         new = set(words)
     for w in new:
         cache[w] = value(w)
