@@ -38,22 +38,24 @@ def enter(name: str) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-class Cache(dict):
-    """A dictionary by strings that is emptied before it holds more than CACHE_BYTES."""
+class Cache:
+    """A dictionary by strings (kept) that is emptied before it holds more than CACHE_BYTES."""
 
-    held = 0
+    def __init__(self) -> None:
+        self.kept: dict[str, object] = {}
+        self.held = 0
 
     def make_room(self, new: set[str] | list[str]) -> bool:
         """Count new entries in; whether all others had to go for them."""
         more = sum(map(len, new)) + ENTRY_BYTES * len(new)
-        full = self.held + more > CACHE_BYTES and len(self) > 0
+        full = self.held + more > CACHE_BYTES and len(self.kept) > 0
         if full:
             self.clear()
         self.held += more
         return full
 
     def clear(self) -> None:
-        super().clear()
+        self.kept.clear()
         self.held = 0
 
 

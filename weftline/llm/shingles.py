@@ -32,12 +32,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _look_up(cache: common.Cache, words: list[str], value) -> np.ndarray:
-    new = set(words).difference(cache)
+    kept = cache.kept
+    new = set(words).difference(kept)
     if cache.make_room(new):
         new = set(words)
     for w in new:
-        cache[w] = value(w)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        kept[w] = value(w)
+    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes(text: str) -> np.ndarray:
