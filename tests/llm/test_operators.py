@@ -188,7 +188,10 @@ def test_language(spark, odd):
     train = [("der die das und nicht über schön " * 5, "de"), ("the and of with that this when " * 5, "en"), ("это не так как мы все " * 5, "ru")]
     label = language.Labeller(language.fit(train)).label
     assert label("und das schön nicht")[0] == "de" and label("that when this")[0] == "en" and label("мы не все")[0] == "ru"
-    assert label("123 !")[0] == "und" and label("")[0] == "und"
+    assert label("123 !")[0] == "und" and label("")[0] == "und" and label("½ ² Ⅷ ٣")[:2] == ("und", 0.0)
+    assert language.words_of("a²b x ½ 日本") == ["a", "b", "x", "日本"]
+    sliced = language.Labeller(language.fit(train))
+    assert sliced.spans("½ das²und x", *sliced.label("½ das²und x")[2:])[0][:2] == (2, 11)
     mixed = "the and of with that this when the and of with " + "это не так как мы все не так это " * 2
     who = language.Labeller(language.fit(train))
     spans = who.spans(mixed, *who.label(mixed)[2:])

@@ -112,10 +112,12 @@ class ByteBPE:
 
 
 _made: dict[tuple[str, str], ByteBPE] = {}
+common.cached_by("byte_bpe", _made.clear)
 
 
 def coder(path: str, pattern: str) -> ByteBPE:
     """The coder of this worker, made once."""
+    common.enter("byte_bpe")
     if (path, pattern) not in _made:
         _made[path, pattern] = ByteBPE(path, pattern)
     return _made[path, pattern]

@@ -30,7 +30,9 @@ from weftline.llm import common
 #: Rows the model is fitted on at most: those of the least hashes of doc_id, spread evenly over the corpus.
 SAMPLE_ROWS = 3000
 #: n-gram lengths, n-grams kept for each language, the penalty of a switch (nats), words a worker keeps scores of.
-ORDERS, KEPT_GRAMS, SWITCH, CACHE_WORDS = (1, 2, 3), 20_000, 8.0, 1_000_000
+ORDERS, KEPT_GRAMS, SWITCH, CACHE_WORDS = (1, 2, 3), 20_000, 8.0, 900_000
+#: The same for keep(), whose workers other stages use before and after.
+FEW_WORDS = 300_000
 UNKNOWN = "und"
 #: Script ranges of letters, by their first and last code point.
 SCRIPTS = {
@@ -52,6 +54,21 @@ SCRIPTS = {
 _words = re.compile(r"[^\W\d_]+")
 
 
+def letters(match: re.Match) -> list[tuple[int, int]]:
+    """(start, end) of the runs of letters (Unicode category L) in a match, which may hold number signs such as a superscript."""
+    w = match.group()
+    edges = [0, *(i for i in range(1, len(w)) if w[i - 1].isalpha() != w[i].isalpha()), len(w)]
+    return [(match.start() + a, match.start() + b) for a, b in zip(edges, edges[1:]) if w[a].isalpha()]
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    found = _words.findall(text)
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [text[a:b] for m in _words.finditer(text) for a, b in letters(m)]
+
+
 def script(word: str) -> str:
     """The script of a word's first letter."""
     c = ord(word[0])
@@ -70,7 +87,7 @@ def fit(rows: list[tuple[str, str]]) -> dict:
     scripts: dict[str, Counter[str]] = defaultdict(Counter)
     letters: Counter[str] = Counter()
     for text, language in rows:
-        words = Counter(w.lower() for w in _words.findall(text))
+        words = Counter(w.lower() for w in words_of(text))
         for w, n in words.items():
             scripts[script(w)][language] += n
             letters[language] += n * len(w)
@@ -92,21 +109,23 @@ def fit(rows: list[tuple[str, str]]) -> dict:
 class Labeller:
     """Labels texts in one worker."""
 
-    def __init__(self, model: dict) -> None:
+    def __init__(self, model: dict, cache_words: int = CACHE_WORDS) -> None:
+        self.cache_words = cache_words
         self.languages, self.candidates = model["languages"], model["candidates"]
         self.usual = self.languages.index(model["usual"]) if self.languages else None
         self.grams = {g: k for k, g in enumerate(model["weights"])}
         self.weights = np.array([*model["weights"].values(), np.zeros(len(self.languages))]).reshape(-1, len(self.languages))
         self.index: dict[str, int] = {}
         #: For every word met: its scores, its length, and whether the scores tell anything.
-        self.table, self.lengths, self.told = np.empty((1024, len(self.languages))), np.empty(1024), np.empty(1024, bool)
+        self.table, self.lengths, self.told = np.empty((1024, len(self.languages)), np.float32), np.empty(1024, np.int32), np.empty(1024, bool)
 
     def _add(self, words: list[str]) -> None:
         """Scores of new words: means of their n-grams' weights, far below all others where the script rules a language out."""
         first, last = len(self.index), len(self.index) + len(words)
         if last > len(self.table):
-            self.table = np.resize(self.table, (2 * last, len(self.languages)))
-            self.lengths, self.told = np.resize(self.lengths, 2 * last), np.resize(self.told, 2 * last)
+            grown = max(last, min(2 * last, self.cache_words))
+            self.table = np.resize(self.table, (grown, len(self.languages)))
+            self.lengths, self.told = np.resize(self.lengths, grown), np.resize(self.told, grown)
         flat, starts, get, none = [], [], self.grams.get, len(self.weights) - 1
         for w in words:
             starts.append(len(flat))
@@ -130,7 +149,7 @@ class Labeller:
     def look_up(self, words: list[str]) -> np.ndarray:
         """The rows of the words in the tables."""
         new = set(words).difference(self.index)
-        if len(self.index) + len(new) > CACHE_WORDS:
+        if len(self.index) + len(new) > self.cache_words:
             self.index, new = {}, set(words)
         if new:
             self._add(list(new))
@@ -162,11 +181,11 @@ class Labeller:
 
     def label(self, text: str) -> tuple[str, float, np.ndarray, list[int]]:
         """(language, score, labels of the words, where runs of one language begin and end in them)."""
-        words = _words.findall(text)
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0, np.empty(0, np.int64), []
         at = self.look_up(words)
-        path = self.path(self.table[at])
+        path = self.path(self.table[at].astype(np.float64))
         lengths = self.lengths[at]
         shares = np.bincount(path, weights=lengths * self.told[at], minlength=len(self.languages))
         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(words)]
@@ -177,7 +196,10 @@ class Labeller:
 
     def spans(self, text: str, path: np.ndarray, edges: list[int]) -> list[tuple[int, int, str]]:
         """(start, end, language) of every run, in code points of the text."""
-        found = [m.span() for m in _words.finditer(text)] if edges else []
+        if len(edges) == 2:  # from the first letter to the last
+            first = next(i for i, c in enumerate(text) if c.isalpha())
+            return [(first, next(i for i in range(len(text), first, -1) if text[i - 1].isalpha()), self.languages[path[0]])]
+        found = [span for m in _words.finditer(text) for span in letters(m)] if edges else []
         return [(found[a][0], found[b - 1][1], self.languages[path[a]]) for a, b in zip(edges, edges[1:])]
 
 
@@ -195,22 +217,24 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     return fit([(r.text, r.lang) for r in rows.collect()])
 
 
-_labellers: dict[int, Labeller] = {}
+_labellers: dict[tuple[int, int], Labeller] = {}
+common.cached_by("language", _labellers.clear)
 
 
-def labeller(blob: bytes) -> Labeller:
+def labeller(blob: bytes, cache_words: int = CACHE_WORDS) -> Labeller:
     """The labeller of a pickled model, made once for each worker."""
-    key = hash(blob)
+    common.enter("language")
+    key = hash(blob), cache_words
     if key not in _labellers:
         _labellers.clear()
-        _labellers[key] = Labeller(pickle.loads(blob))
+        _labellers[key] = Labeller(pickle.loads(blob), cache_words)
     return _labellers[key]
 
 
-def languages(docs: DataFrame, model: dict, offsets: bool = True) -> DataFrame:
-    """doc_id, lang_pred, score, n_spans, and with offsets the spans of every document."""
+def languages(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, lang_pred, score, n_spans and spans (start and end in code points, lang) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    out = "doc_id long, lang_pred string, score double, n_spans int" + ", spans array<struct<start:int,end:int,lang:string>>" * offsets
+    out = "doc_id long, lang_pred string, score double, n_spans int, spans array<struct<start:int,end:int,lang:string>>"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,17 +243,16 @@ def languages(docs: DataFrame, model: dict, offsets: bool = True) -> DataFrame:
             texts = b.column("text").to_pylist()
             rows = [who.label(t) for t in texts]
             columns = [b.column("doc_id"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([max(0, len(r[3]) - 1) for r in rows], pa.int32())]
-            if offsets:
-                columns.append(pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in who.spans(t, r[2], r[3])] for t, r in zip(texts, rows)], span))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "n_spans", "spans"][: len(columns)])
+            columns.append(pa.array([[{"start": a, "end": z, "lang": x} for a, z, x in who.spans(t, r[2], r[3])] for t, r in zip(texts, rows)], span))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "n_spans", "spans"])
 
     return common.id_text(docs).mapInArrow(run, out)
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and n_spans of every document."""
-    found = languages(docs, learn(docs, sample_rows), offsets=False)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans")
+    """doc_id, held_out, lang_pred, score, n_spans and spans (start, end, lang) of every document."""
+    found = languages(docs, learn(docs, sample_rows))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_spans", "spans")
 
 
 def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -237,7 +260,7 @@ def keep(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def prepare():
-        label = labeller(sent.value).label
+        label = labeller(sent.value, FEW_WORDS).label
 
         def test(b: pa.RecordBatch) -> list[bool]:
             found = (label(t or "") for t in b.column("text").to_pylist())

@@ -15,11 +15,13 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from weftline.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: Pieces a worker keeps at most, and the longest piece it keeps; both bound the cache, not the results.
-CACHE_PIECES, CACHE_CHARS = 1_600_000, 48
+#: Pieces a worker keeps at most (about 230 bytes each), and the longest piece it keeps; both bound the cache, not the results.
+CACHE_PIECES, CACHE_CHARS = 700_000, 48
 
 _loose = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
@@ -32,6 +34,18 @@ _edges: dict[str, tuple[bool, np.ndarray] | None] = {}
 _caches: dict[tuple, tuple[dict, dict]] = {}
 
 
+def clear() -> None:
+    for caches in _caches.values():
+        for c in caches:
+            c.clear()
+    _caches.clear()
+    _edges.clear()
+    _loaded.clear()
+
+
+common.cached_by("tokens", clear)
+
+
 def load(path: str):
     """The tokenizer at path, once for each worker."""
     if path not in _loaded:
@@ -77,6 +91,7 @@ class PieceEncoder:
     """join() of the value() of every text's pieces, from a cache that starts with known (tail pieces, values)."""
 
     def __init__(self, path: str, value: Callable, join: Callable[[Iterable], object], known: dict | None = None, key: str = "") -> None:
+        common.enter("tokens")
         self.tokenizer, self.value, self.join, self.known = load(path), value, join, known or {}
         self.edges = _edges.setdefault(path, _word_edges(self.tokenizer)) if path not in _edges else _edges[path]
         #: whether the vocabulary doesn't tell capitals from small letters
