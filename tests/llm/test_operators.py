@@ -391,6 +391,35 @@ def test_passages_without_sentences(spark):
     assert {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in rows} == {i: [t] for i, t in want.items()}
 
 
+def test_passage_whose_sentences_also_stand_alone(spark):
+    """Each sentence of the passage is in an earlier document by itself, so every bucket has another first paragraph."""
+    sentences = [prose(500 + k, 9).split(".")[0] + "." for k in range(8)]
+    passage = " ".join(sentences)
+    assert len(passage.split()) >= substring_dedup.RUN
+    alone = [f"{prose(600 + k, 40)} {s} {prose(700 + k, 40)}" for k, s in enumerate(sentences)]
+    texts = [*alone, f"{prose(1, 60)} {passage} {prose(2, 60)}", f"{prose(3, 70)} {passage} {prose(4, 50)}"]
+    rows = substring_dedup.passages(table(spark, texts)).collect()
+    assert [(r.doc_id, r.kept_in) for r in rows] == [(9, [8])]
+    assert [texts[9][s.start : s.end] for s in rows[0].spans] == [passage]
+    long = " ".join(prose(900 + k, 12) for k in range(40))  # its first paragraphs are also in an older document
+    parts = long.split()
+    texts = [f"{prose(1, 60)} {' '.join(parts[:90])} {prose(2, 60)}", f"{prose(3, 60)} {long} {prose(4, 60)}", f"{prose(5, 60)} {long} {prose(6, 60)}"]
+    lost = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in substring_dedup.passages(table(spark, texts)).collect()}
+    assert lost == {1: [" ".join(parts[:90])], 2: [long]}
+
+
+def test_substring_dedup_of_repeated_ids_and_clashing_names(spark):
+    passage = prose(77, 80)
+    texts = [f"{prose(1, 60)} {passage}", f"{prose(2, 60)} {passage}", prose(3, 120)]
+    docs = spark.createDataFrame([(4, texts[0], 1, "x"), (9, texts[1], 2, "y"), (9, texts[2], 3, "z"), (9, texts[2], 3, "z"), (None, texts[1], 4, "w")], "doc_id long, text string, _id int, lost_spans string")
+    assert [(r.doc_id, r.kept_in) for r in substring_dedup.passages(docs).collect()] == [(9, [4])]
+    left = substring_dedup.remove(docs)
+    assert left.columns == docs.columns
+    rows = sorted(left.collect(), key=lambda r: r._id)
+    assert [(r.doc_id, r._id, r.lost_spans) for r in rows] == [(4, 1, "x"), (9, 2, "y"), (9, 3, "z"), (9, 3, "z"), (None, 4, "w")]
+    assert [r.text.strip() for r in rows] == [texts[0], prose(2, 60), texts[2], texts[2], texts[1]]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = dict((r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect())
