@@ -151,6 +151,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the scratch table that df reads, once what was made of it is written."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, folder)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected edges (a, b: long) as (node, root), root the least node.
 
