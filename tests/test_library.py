@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import catalogue
 from weftline.functions import text as X
-from weftline.operators import graph, ranking, vectors
+from weftline.operators import graph, more, ranking, vectors
 from weftline.plans.registry import TABLES
 from weftline.sources import readers, writers
 from weftline.streaming import jobs
@@ -126,3 +126,41 @@ def test_greedy_selection_goes_through_all_candidates(spark):
     brute = select_greedily(rows.toPandas())
     got = catalogue.QUERIES["t10_greedy_selection"](spark, DATA)
     assert sorted(r.suggestion for r in got.collect()) == sorted(brute["suggestion"])
+
+
+def test_trees_of_any_depth(spark):
+    tree = [{"label": "leaf", "nb_events": 5}]
+    for k in range(6):
+        tree = [{"label": f"level{k}", "subtable": json.dumps(tree)}]
+    got = readers.flatten_events(spark.createDataFrame([(json.dumps(tree),), (None,)], "j string"), "j").collect()
+    assert [(r.label, r.nb_events) for r in got] == [("leaf", 5)]
+
+
+def test_equal_vectors_share_a_cluster(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.01, 1.0]), (9, [0.0, 1.0])], "id long, vec array<float>")
+    assert dict((r.id, r.cluster) for r in more.vector_clusters(rows, 0.9).collect()) == {1: 1, 3: 1, 4: 4, 5: 4, 9: 4}
+
+
+def test_runs_of_events_apart(spark):
+    """A steady stream, every 50 minutes, alerts anew an hour after its last alert, and over midnight."""
+    rows = [(k, 1, f"2024-01-31 {h:02d}:{m:02d}:00") for k, (h, m) in enumerate([(20, 0), (20, 50), (21, 40), (22, 30), (23, 59)])] + [(9, 1, "2024-02-01 00:00:30"), (10, 2, "2024-02-01 00:00:30")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    parts = {r.event_id: (r.user_id, r.part, r["size"]) for r in jobs.apart(events, ["user_id"], "1 HOUR").collect()}
+    assert len({parts[k][:2] for k in (0, 1, 2, 3)}) == 1 and parts[4] == parts[9] != parts[3] and parts[10][2] == 1
+    assert [i for i, k in enumerate(jobs.fold_minute([0, 50, 100, 150], 60)) if i == k] == [0, 2]
+
+
+def test_readability_counts(spark):
+    texts = ["The make of tree", "hmm rhythm beautiful. Area einstein table; recite agreeable", "été naïve e", "café2x mile-stone"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", *X.readability(F.col("text"))).collect()
+    import re
+
+    for r in rows:
+        words = re.findall("[a-z]+", r.text.lower())
+        syl = []
+        for w in words:
+            n = len(re.findall("[aeiouy]+", w))
+            syl.append(max(1, n - (1 if re.search("[^aeiouy]e$", w) and n > 1 else 0)))
+        assert (r.words, r.syllables) == (len(words), sum(syl))
+        sentences = max(1, len(re.findall("[.!?]+", r.text)))
+        assert abs(r.fog - 0.4 * (len(words) / sentences + 100 * sum(s >= 3 for s in syl) / len(words))) < 1e-5

@@ -45,7 +45,7 @@ def webhook_key(source: Column, event: Column, payload: Column) -> Column:
     return F.concat_ws(":", source, event, F.substring(F.sha2(payload, 256), 1, 16))
 
 
-def clean_bbcode(text: Column, rounds: int = 3) -> Column:
+def clean_bbcode(text: Column, rounds: int = 8) -> Column:
     """Without quoted and code blocks (nested ones up to rounds deep) and tags; white space collapsed."""
     for _ in range(rounds):
         text = F.regexp_replace(text, r"(?is)\[(quote|code|sigpic)[^\]]*\](?:(?!\[\1)[\s\S])*?\[/\1\]", " ")
@@ -76,6 +76,24 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - F.when(word.rlike("[^aeiouy]e$") & (groups > 1), 1).otherwise(0))
 
 
+def readability(text: Column) -> list[Column]:
+    """words, syllables, grade and fog of a text, by counts over the whole of it and not word by word.
+
+    A word's syllables are its runs of vowels, less a silent e after a consonant at its end, 1 at least.
+    """
+    lower, v, c, start, end = F.lower(text), "[aeiouy]+", "[b-df-hj-np-tv-xz]", "(?<![a-z])", "(?![a-z])"
+    count = lambda pattern: F.regexp_count(lower, F.lit(pattern))
+    words = count("[a-z]+")
+    silent = count(f"[aeiouy][a-z]*{c}e{end}")
+    total = count(v) + count(f"{start}{c}+{end}") - silent
+    # three runs of vowels or more, less those whose third and last is a silent e
+    hard = count(f"{start}{c}*(?:{v}{c}+){{2}}[aeiouy]") - count(f"{start}{c}*(?:{v}{c}+){{2}}e{end}")
+    n, s = words.cast("long"), F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]+")))
+    grade = F.round(F.lit(0.39) * n / s + F.lit(11.8) * total.cast("long") / n - 15.59, 6)
+    fog = F.round(0.4 * (n.cast("double") / s + F.lit(100.0) * hard / n), 6)
+    return [n.alias("words"), total.cast("long").alias("syllables"), grade.alias("grade"), fog.alias("fog")]
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, fragment or tracking parameters, query sorted."""
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)), r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")

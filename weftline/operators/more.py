@@ -17,7 +17,7 @@ WEIGHTS = {"semantic": 0.40, "keyword": 0.25, "node": 0.20, "quality": 0.15}
 _tok = "regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')"
 
 sql("k13_edge_history_merge", "WITH now AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 50 AS dst FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'), old AS (SELECT o_custkey AS src, o_orderkey % 50 AS dst, MIN(o_orderdate) AS first_seen FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY o_custkey, o_orderkey % 50) SELECT COALESCE(n.src, o.src) AS src, COALESCE(n.dst, o.dst) AS dst, COALESCE(first_seen, TIMESTAMP '1998-01-01 00:00:00') AS first_seen, n.src IS NOT NULL AS is_active FROM now n FULL OUTER JOIN old o ON n.src = o.src AND n.dst = o.dst")
-sql("k17_batch_apply", f"WITH {REVIEWS} SELECT suggestion, CASE WHEN host % 5 = 1 THEN ROUND(score / 600000, 6) ELSE 0.0E0 END AS value FROM reviews")
+sql("k17_batch_apply", f"WITH {REVIEWS} SELECT suggestion, CASE WHEN host % 5 = 1 THEN score / 600000 ELSE 0.0E0 END AS value FROM reviews")
 sql("a34_totals_by_node", "SELECT user_id % 10 AS node, COUNT(*) AS n, MAX(event_type) AS most, CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY user_id % 10")
 sql("x39_collocation_pmi", f"WITH {SESSIONS}, n AS (SELECT page, CAST(COUNT(*) AS DOUBLE) AS n FROM sessions GROUP BY page), t AS (SELECT CAST(COUNT(DISTINCT session) AS DOUBLE) AS total FROM sessions), j AS (SELECT x.page AS a, y.page AS b, CAST(COUNT(*) AS DOUBLE) AS co FROM sessions x JOIN sessions y ON x.session = y.session AND x.page < y.page GROUP BY x.page, y.page) SELECT a, b, ROUND(LN(co * total / (x.n * y.n)) / LN(2), 6) AS pmi FROM j JOIN n x ON x.page = a JOIN n y ON y.page = b, t")
 sql("g18_signal_sum", f"WITH {EDGES}, o AS (SELECT src, COUNT(*) AS n FROM edges GROUP BY src), i AS (SELECT dst, COUNT(*) AS n FROM edges GROUP BY dst) SELECT s_suppkey, ROUND(0.05E0 * COALESCE(1.0E0 / (1 + o.n), 0.0E0) + 0.03E0 * COALESCE(CAST(i.n AS DOUBLE) / 100, 0.0E0), 6) AS total FROM supplier LEFT JOIN o ON o.src = s_suppkey LEFT JOIN i ON i.dst = s_suppkey")
@@ -28,12 +28,12 @@ w AS (SELECT item, tf.query, tf * LN(1 + n / (1 + df)) AS w FROM tf JOIN df ON d
 )
 sql(
     "g17_query_alignment",
-    f"""WITH {SEARCH}, tf AS (SELECT item, query, CAST(SUM(clicks) AS DOUBLE) AS w FROM search GROUP BY item, query), n AS (SELECT item, SQRT(SUM(w * w)) AS norm FROM tf GROUP BY item)
-SELECT x.item AS a, y.item AS b, ROUND(SUM(x.w * y.w) / MAX(m.norm * k.norm), 6) AS cosine FROM tf x JOIN tf y ON x.query = y.query AND x.item < y.item JOIN n m ON m.item = x.item JOIN n k ON k.item = y.item WHERE x.item < 30 AND y.item < 30 GROUP BY x.item, y.item""",
+    f"""WITH {SEARCH}, tf AS (SELECT item, query, CAST(SUM(clicks) AS DOUBLE) AS w FROM search GROUP BY item, query), n AS (SELECT item, SQRT(SUM(w * w)) AS norm FROM tf GROUP BY item), {REVIEWS}, asked AS (SELECT DISTINCT host, destination FROM reviews)
+SELECT x.item AS a, y.item AS b, ROUND(SUM(x.w * y.w) / MAX(m.norm * k.norm), 6) AS cosine FROM asked JOIN tf x ON x.item = host JOIN tf y ON y.item = destination AND x.query = y.query JOIN n m ON m.item = x.item JOIN n k ON k.item = y.item GROUP BY x.item, y.item""",
 )
 sql(
     "r1_composite_score",
-    f"WITH {REVIEWS} SELECT suggestion, ROUND({WEIGHTS['semantic']}E0 * (host % 100) / 100 + {WEIGHTS['keyword']}E0 * (destination % 10) / 10 + {WEIGHTS['node']}E0 * CASE WHEN host % 5 = destination % 5 THEN 1.0E0 ELSE 0.3E0 END + {WEIGHTS['quality']}E0 * score / 600000, 6) AS final FROM reviews",
+    f"WITH {REVIEWS} SELECT suggestion, {WEIGHTS['semantic']}E0 * (host % 100) / 100 + {WEIGHTS['keyword']}E0 * (destination % 10) / 10 + {WEIGHTS['node']}E0 * CASE WHEN host % 5 = destination % 5 THEN 1.0E0 ELSE 0.3E0 END + {WEIGHTS['quality']}E0 * score / 600000 AS final FROM reviews",
 )
 sql("r2_weights", " UNION ALL ".join(f"SELECT '{k}' AS name, {v}E0 AS weight" for k, v in WEIGHTS.items()))
 sql("r7_rare_terms", "WITH t AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS term FROM orders JOIN lineitem ON l_orderkey = o_orderkey), d AS (SELECT term, COUNT(*) AS df FROM t GROUP BY term), c AS (SELECT c_nationkey AS nation, term, COUNT(*) AS support FROM t JOIN customer ON c_custkey = doc GROUP BY c_nationkey, term) SELECT nation, c.term, ROUND(0.35E0 * LEAST(1.0E0, support / 3.0E0) + 0.20E0 / df + 0.45E0, 6) AS evidence FROM c JOIN d ON d.term = c.term WHERE support >= 2 AND df <= 40")
@@ -48,9 +48,9 @@ sql("r48_import_changes", "WITH stored AS (SELECT doc_id, MD5(text) AS h, 1 AS v
 sql("r46_readiness", f"WITH {TELEMETRY}, {REVIEWS} SELECT 'telemetry' AS prerequisite, COUNT(*) >= 100 AS ready FROM telemetry UNION ALL SELECT 'reviews', COUNT(*) >= 50 FROM reviews WHERE status <> 'pending'")
 
 
-@query("x27_feature_hash", f"SELECT CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT DISTINCT unnest({_tok}) AS w FROM benchmark) x")
+@query("x27_feature_hash", f"WITH w AS (SELECT DISTINCT unnest({_tok}) AS w FROM benchmark), h AS (SELECT w, list_reduce(list_transform(string_split(w, ''), lambda c: CAST(ord(c) AS UBIGINT)), lambda h, b: (xor(h, b) * CAST(16777619 AS UBIGINT)) % CAST(4294967296 AS UBIGINT), CAST(2166136261 AS UBIGINT)) AS h FROM w) SELECT CAST(h % 1024 AS INTEGER) AS bucket, COUNT(*) AS n FROM h GROUP BY CAST(h % 1024 AS INTEGER)")
 def x27(spark, sf_dir):
-    """FNV-1a of every token, mod 1024; the sum over the buckets is the number of tokens."""
+    """Tokens by FNV-1a mod 1024."""
 
     def fnv(words: pd.Series) -> pd.Series:
         out = []
@@ -62,7 +62,7 @@ def x27(spark, sf_dir):
         return pd.Series(out, dtype="int32")
 
     words = load(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("w")).distinct()
-    return words.groupBy(F.pandas_udf(fnv, "int")("w").alias("bucket")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
+    return words.groupBy(F.pandas_udf(fnv, "int")("w").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("x34_phrase_inventory", f"WITH t AS (SELECT item_id, {_tok} AS w FROM benchmark), p AS (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM t) SELECT item_id, COUNT(DISTINCT array_to_string(list_slice(w, i, i + 1), ' ')) AS phrases FROM p GROUP BY item_id")
@@ -103,9 +103,17 @@ def x40(spark, sf_dir):
 
 @query("v5_vector_clusters")
 def v5(spark, sf_dir):
+    """Clusters of close vectors; vectors that are equal have the cluster of the first of them."""
     rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    pairs = vectors.close_pairs(rows, 0.9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return rows.select("id").join(graph.labels(pairs), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("cluster"))
+    return vector_clusters(rows, 0.9)
+
+
+def vector_clusters(rows, least):
+    """id and cluster (the least id in it) of every vector in rows (id, vec)."""
+    pairs = vectors.close_pairs(rows, least).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    first = rows.groupBy("vec").agg(F.min("id").alias("first"))
+    named = first.join(graph.labels(pairs), F.col("first") == F.col("node"), "left").select("vec", F.coalesce("root", "first").alias("cluster"))
+    return rows.select("id", "vec").join(named, "vec").select("id", "cluster")
 
 
 @query("v6_product_codes")

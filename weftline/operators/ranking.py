@@ -11,7 +11,7 @@ from weftline.plans.registry import load, query, sql, tables
 from weftline.plans.views import EDGES, PAIRS, REVIEWS, SNAPSHOTS, TELEMETRY
 
 _totals = f"""WITH {TELEMETRY}, t AS (SELECT user_id, CAST(SUM(impressions) AS DOUBLE) AS views, CAST(SUM(clicks) AS DOUBLE) AS clicks, CAST(SUM(conversions) AS DOUBLE) AS conversions, CAST(SUM(engaged) AS DOUBLE) AS engaged, CAST(SUM(quick_exit) AS DOUBLE) AS quick_exit, CAST(SUM(sessions) AS DOUBLE) AS sessions FROM telemetry GROUP BY user_id)"""
-sql("r3_keyword_jaccard", "WITH l AS (SELECT DISTINCT o_custkey AS a, l_partkey % 50 AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 60), n AS (SELECT a, COUNT(*) AS n FROM l GROUP BY a), b AS (SELECT x.a AS a, y.a AS b, COUNT(*) AS shared FROM l x JOIN l y ON x.t = y.t AND x.a < y.a GROUP BY x.a, y.a) SELECT b.a, b.b, ROUND(CAST(shared AS DOUBLE) / (x.n + y.n - shared), 6) AS j FROM b JOIN n x ON x.a = b.a JOIN n y ON y.a = b.b")
+sql("r3_keyword_jaccard", f"WITH l AS (SELECT DISTINCT o_custkey AS a, l_partkey % 50 AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT a, COUNT(*) AS n FROM l GROUP BY a), {REVIEWS}, asked AS (SELECT DISTINCT host AS a, destination AS b FROM reviews WHERE host <> destination), s AS (SELECT asked.a, asked.b, COUNT(*) AS shared FROM asked JOIN l x ON x.a = asked.a JOIN l y ON y.a = asked.b AND y.t = x.t GROUP BY asked.a, asked.b) SELECT s.a, s.b, ROUND(CAST(shared AS DOUBLE) / (x.n + y.n - shared), 6) AS j FROM s JOIN n x ON x.a = s.a JOIN n y ON y.a = s.b")
 sql("r4_node_affinity", "SELECT c.c_custkey, s.s_suppkey, CASE WHEN c_nationkey = s_nationkey THEN 1.0E0 WHEN n1.n_regionkey = n2.n_regionkey THEN 0.6E0 ELSE 0.0E0 END AS affinity FROM customer c JOIN supplier s ON s.s_suppkey = c.c_custkey % 100 JOIN nation n1 ON n1.n_nationkey = c_nationkey JOIN nation n2 ON n2.n_nationkey = s_nationkey")
 sql("r5_silo_affinity", "SELECT c_custkey, CASE WHEN c_nationkey % 5 = c_custkey % 5 THEN 0.2E0 ELSE -0.1E0 END AS silo, c_nationkey % 5 <> c_custkey % 5 AS blocked_if_strict FROM customer")
 sql(

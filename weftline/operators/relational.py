@@ -76,11 +76,14 @@ sql(
     f"""WITH {REVIEWS} SELECT x.suggestion AS first, y.suggestion AS second, CASE WHEN x.status = y.status THEN 'draw' WHEN x.status = 'approved' THEN 'win' ELSE 'loss' END AS outcome
 FROM reviews x JOIN reviews y ON x.host = y.host AND x.suggestion < y.suggestion WHERE x.status <> 'pending' AND y.status <> 'pending'""",
 )
+#: Buckets of five minutes since a fixed day.
+_band = """WITH e AS (SELECT event_id, ts, user_id, CAST(FLOOR({0} * 288 + EXTRACT(HOUR FROM ts) * 12 + EXTRACT(MINUTE FROM ts) / 5) AS BIGINT) AS bucket FROM events WHERE event_type = 'error'),
+near AS (SELECT event_id, ts, bucket + d AS bucket FROM e, (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) x)
+SELECT a.event_id AS event, b.event_id AS related FROM near a JOIN e b ON a.bucket = b.bucket AND a.event_id <> b.event_id WHERE b.ts BETWEEN a.ts - INTERVAL '5' MINUTE AND a.ts + INTERVAL '5' MINUTE"""
 sql(
     "j17_band_join",
-    """WITH e AS (SELECT event_id, ts, user_id, CAST(FLOOR(EXTRACT(DAY FROM ts) * 288 + EXTRACT(HOUR FROM ts) * 12 + EXTRACT(MINUTE FROM ts) / 5) AS BIGINT) AS bucket FROM events WHERE event_type = 'error'),
-near AS (SELECT event_id, ts, bucket + d AS bucket FROM e, (SELECT -1 AS d UNION ALL SELECT 0 UNION ALL SELECT 1) x)
-SELECT a.event_id AS event, b.event_id AS related FROM near a JOIN e b ON a.bucket = b.bucket AND a.event_id <> b.event_id WHERE b.ts BETWEEN a.ts - INTERVAL '5' MINUTE AND a.ts + INTERVAL '5' MINUTE""",
+    _band.format("DATEDIFF(CAST(ts AS DATE), DATE '2000-01-01')"),
+    _band.format("DATE_DIFF('day', DATE '2000-01-01', CAST(ts AS DATE))"),
 )
 sql("j18_paragraph_band", "SELECT a.l_orderkey AS host, a.l_linenumber AS x, b.l_linenumber AS y, COUNT(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND b.l_linenumber - a.l_linenumber <= 3 GROUP BY a.l_orderkey, a.l_linenumber, b.l_linenumber")
 _path = r"WITH p AS (SELECT page_id, url, {} AS path FROM pages) SELECT a.page_id AS page, MIN(b.page_id) AS target FROM p a JOIN p b ON a.path = b.path GROUP BY a.page_id"
@@ -127,7 +130,7 @@ sql(
 b AS (SELECT event_type, AVG(n) AS mean, STDDEV_SAMP(n) AS sd, COUNT(*) AS points FROM d, last WHERE d.day < last.day GROUP BY event_type)
 SELECT d.event_type, ROUND((d.n - b.mean) / b.sd, 4) AS z, ABS((d.n - b.mean) / b.sd) >= 3 AS anomaly FROM d JOIN last ON d.day = last.day JOIN b ON b.event_type = d.event_type WHERE b.points >= 3 AND b.sd > 0""",
 )
-_gaps = "WITH days AS ({}), n AS (SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n FROM orders WHERE o_custkey % 50 = 7 GROUP BY CAST(o_orderdate AS DATE)) SELECT days.day FROM days LEFT JOIN n ON n.day = days.day WHERE COALESCE(n.n, 0) = 0"
+_gaps = "WITH days AS ({}), kinds AS (SELECT DISTINCT o_orderpriority AS kind FROM orders), n AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderpriority AS kind, COUNT(*) AS n FROM orders GROUP BY CAST(o_orderdate AS DATE), o_orderpriority) SELECT kinds.kind, days.day FROM days CROSS JOIN kinds LEFT JOIN n ON n.day = days.day AND n.kind = kinds.kind WHERE COALESCE(n.n, 0) = 0"
 sql("a19_backfill_gaps", _gaps.format(_spark_days), _gaps.format(_duck_days))
 sql("a20_source_scorecard", "WITH m AS (SELECT MAX(ts) AS anchor FROM events) SELECT event_type, COUNT(*) AS n, MAX(ts) AS latest, CAST(COUNT(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days, LEAST(1.0E0, COUNT(DISTINCT CAST(ts AS DATE)) / 30.0E0) AS completeness FROM events GROUP BY event_type")
 sql("a21_duplicate_count", "SELECT CAST(SUM(n - 1) AS BIGINT) AS duplicates FROM (SELECT MD5(text) AS k, COUNT(*) AS n FROM documents GROUP BY MD5(text) HAVING COUNT(*) > 1) x")
@@ -147,7 +150,7 @@ sql("a28_shannon_entropy", "WITH c AS (SELECT user_id, event_type, CAST(COUNT(*)
 sql("a35_decimal_costs", "SELECT l_shipmode, CAST(SUM(cost) AS DECIMAL(38,6)) AS cost, CAST(SUM(tokens) AS BIGINT) AS tokens FROM (SELECT l_returnflag AS l_shipmode, CAST(l_extendedprice AS DECIMAL(12,6)) AS cost, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem WHERE l_extendedprice < 100000) x GROUP BY l_shipmode")
 sql("a36_status_dashboard", f"WITH {REVIEWS} SELECT status, COUNT(*) AS n, MAX(suggestion) AS latest FROM reviews GROUP BY status")
 sql("a37_scope_counts", "SELECT source, COUNT(*) AS n, CAST(SUM(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
-_trend = "WITH days AS ({}), k AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id < 20), n AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id, CAST(ts AS DATE)) SELECT k.user_id, days.day, COALESCE(n.n, 0) AS n FROM k CROSS JOIN days LEFT JOIN n ON n.day = days.day AND n.user_id = k.user_id"
+_trend = "WITH days AS ({}), k AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), n AS (SELECT user_id, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id, CAST(ts AS DATE)) SELECT k.user_id, days.day, COALESCE(n.n, 0) AS n FROM k CROSS JOIN days LEFT JOIN n ON n.day = days.day AND n.user_id = k.user_id"
 sql("a38_severity_trend", _trend.format("SELECT EXPLODE(SEQUENCE(DATE '2024-01-01', DATE '2024-01-30')) AS day"), _trend.format("SELECT CAST(UNNEST(GENERATE_SERIES(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day"))
 sql("a39_cube", "SELECT event_type, user_id % 3 AS device, COUNT(*) AS n, CAST(GROUPING(event_type) + GROUPING(user_id % 3) AS BIGINT) AS level FROM events GROUP BY CUBE (event_type, user_id % 3)")
 sql("a39_grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -210,7 +213,6 @@ sql("k15_archive_then_prune", "SELECT vec_id, label FROM embeddings WHERE NOT (l
 # streaming behaviours in batch form
 _m2 = "SELECT user_id, get_json_object(props, '$.k') AS fingerprint, COUNT(*) AS n, MAX_BY(event_id, ts) AS latest FROM events WHERE event_type = 'error' GROUP BY user_id, get_json_object(props, '$.k')"
 sql("m2_dedupe_reopen", _m2, _m2.replace("get_json_object(props", "json_extract_string(props"))
-sql("m3_cooldown", "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_ts FROM events WHERE event_type = 'error') x WHERE before_ts IS NULL OR ts > before_ts + INTERVAL '1' HOUR")
 sql("m4_payload_dedupe", "SELECT MD5(CONCAT(CAST(user_id AS STRING), props)) AS payload, MIN(event_id) AS first_event FROM events GROUP BY MD5(CONCAT(CAST(user_id AS STRING), props))", "SELECT MD5(CONCAT(CAST(user_id AS VARCHAR), props)) AS payload, MIN(event_id) AS first_event FROM events GROUP BY MD5(CONCAT(CAST(user_id AS VARCHAR), props))")
 sql("m5_daily_rollup", "SELECT CAST(ts AS DATE) AS day, event_type, COUNT(*) AS n, CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY CAST(ts AS DATE), event_type")
 sql("m6_sliding_seven_days", "WITH d AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY CAST(ts AS DATE)) SELECT day, CAST(SUM(n) OVER (ORDER BY day RANGE BETWEEN INTERVAL '6' DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM d")
@@ -220,3 +222,4 @@ sql(
 s AS (SELECT user_id, ts, SUM(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT user_id, CAST(n AS BIGINT) AS session, MIN(ts) AS opened, MAX(ts) AS closed, COUNT(*) AS events FROM s GROUP BY user_id, CAST(n AS BIGINT)""",
 )
+sql("m8_sessions_by_id", "SELECT conv_id AS session, COUNT(*) AS events, COUNT(DISTINCT role) AS roles, MIN(turn) AS opened, MAX(turn) AS closed FROM conversations GROUP BY conv_id")

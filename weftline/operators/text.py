@@ -19,10 +19,11 @@ def x1(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.token_set(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
-@query("x3_clean_bbcode", "SELECT doc_id, trim(regexp_replace(substring(text, 1, 60), '\\s+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'")
+@query("x3_clean_bbcode", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS clean FROM documents WHERE NOT regexp_matches(text, '[\\[\\]]')")
 def x3(spark, sf_dir):
-    wrapped = F.concat(F.lit("[QUOTE=a][b]x[/b] [code]y[/code][/QUOTE][b]"), F.substring("text", 1, 60), F.lit("[/b]"))
-    return _docs(spark, sf_dir).where("lang = 'en'").select("doc_id", X.clean_bbcode(wrapped).alias("clean"))
+    """Texts are wrapped in tags; those that hold brackets of their own are left to the tests."""
+    wrapped = F.concat(F.lit("[QUOTE=a][b]x[/b] [QUOTE]y[code]z[/code][/QUOTE][/QUOTE][b]"), F.col("text"), F.lit("[/b]"))
+    return _docs(spark, sf_dir).where(~F.col("text").rlike(r"[\[\]]")).select("doc_id", X.clean_bbcode(wrapped).alias("clean"))
 
 
 @query("x4_clean_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>|<!--[\s\S]*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS body FROM pages")
@@ -115,11 +116,7 @@ y AS (SELECT doc_id, greatest(1, len(regexp_extract_all(w, '[aeiouy]+')) - CASE
 SELECT y.doc_id, COUNT(*) AS words, CAST(SUM(syl) AS BIGINT) AS syllables, ROUND(0.39e0 * COUNT(*) / MAX(s.n) + 11.8e0 * SUM(syl) / COUNT(*) - 15.59e0, 6) AS grade, ROUND(0.4e0 * (CAST(COUNT(*) AS DOUBLE) / MAX(s.n) + 100e0 * SUM(CASE WHEN syl >= 3 THEN 1 ELSE 0 END) / COUNT(*)), 6) AS fog FROM y JOIN s ON y.doc_id = s.doc_id GROUP BY y.doc_id""",
 )
 def x19(spark, sf_dir):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = _docs(spark, sf_dir).select("doc_id", F.transform(words, X.syllables).alias("syl"), F.greatest(F.lit(1), F.regexp_count("text", F.lit("[.!?]+"))).alias("s")).where(F.size("syl") > 0)
-    n, total = F.size("syl").cast("long"), F.aggregate("syl", F.lit(0), lambda a, x: a + x).cast("long")
-    hard = F.size(F.filter("syl", lambda x: x >= 3))
-    return rows.select("doc_id", n.alias("words"), total.alias("syllables"), F.round(F.lit(0.39) * n / F.col("s") + F.lit(11.8) * total / n - 15.59, 6).alias("grade"), F.round(0.4 * (n.cast("double") / F.col("s") + F.lit(100.0) * hard / n), 6).alias("fog"))
+    return _docs(spark, sf_dir).select("doc_id", *X.readability(F.col("text"))).where("words > 0")
 
 
 _anchors = "WITH a AS (SELECT p_partkey, p_name, p_type FROM part)"

@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -55,17 +56,24 @@ class PagedSource(DataSource):
         return PagedReader(schema, self.options)
 
 
-def flatten_events(rows: DataFrame, column: str, depth: int = 3) -> DataFrame:
-    """label, action and nb_events of a tree of JSON rows; a row without an action of its own has its parent's."""
-    level = "array<struct<label:string,action:string,nb_events:long,subtable:string>>"
-    now = rows.select(F.explode(F.from_json(column, level)).alias("r"), F.lit(None).cast("string").alias("above"))
-    out = None
-    for _ in range(depth):
-        flat = now.select(F.col("r.label").alias("label"), F.coalesce("r.action", "above").alias("action"), F.col("r.nb_events").alias("nb_events"), F.col("r.subtable").alias("subtable"))
-        leaves = flat.where("subtable is null").drop("subtable")
-        out = leaves if out is None else out.unionByName(leaves)
-        now = flat.where("subtable is not null").select(F.explode(F.from_json("subtable", level)).alias("r"), F.coalesce("action", "label").alias("above"))
-    return out
+def flatten_events(rows: DataFrame, column: str) -> DataFrame:
+    """label, action and nb_events of the leaves of trees of JSON rows, however deep; a row without an action of its own has its parent's."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for tree in frame["tree"].dropna():
+                left = [(row, None) for row in reversed(json.loads(tree))]
+                while left:
+                    row, above = left.pop()
+                    action, below = row.get("action") or above, row.get("subtable")
+                    if below is None:
+                        out.append((row.get("label"), action, row.get("nb_events")))
+                    else:
+                        left += [(child, action or row.get("label")) for child in reversed(json.loads(below) if isinstance(below, str) else below)]
+            yield pd.DataFrame(out, columns=["label", "action", "nb_events"]).astype({"nb_events": "Int64"})
+
+    return rows.select(F.col(column).alias("tree")).mapInPandas(run, "label string, action string, nb_events long")
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
@@ -118,8 +126,6 @@ def s12(spark, sf_dir):
 
 @query("s14_decode", "SELECT doc_id, sha256(text) AS h FROM documents")
 def s14(spark, sf_dir):
-    import pandas as pd
-
     def run(body: pd.Series) -> pd.Series:
         return body.map(decode)
 

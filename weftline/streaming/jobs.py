@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import load, query
@@ -49,19 +49,52 @@ def counted_with_state(events: DataFrame, seconds: int = 60) -> DataFrame:
                 n += 1
                 out.append((key[0], key[1], first_id, n))
         state.update((first_ms, first_id, n))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame(out, columns=["user_id", "event_type", "event_id", "n"])
 
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id long, event_type string, event_id long, n long", "first_ms long, first_id long, n long", "update", "NoTimeout")
+    return events.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id long, event_type string, event_id long, n long", "first_ms long, first_id long, n long", "update", "ProcessingTimeTimeout")
+
+
+def apart(events: DataFrame, key: list[str], gap: str) -> DataFrame:
+    """events with part and size: runs of a key's events with no gap longer than gap inside, so what one run holds back can't touch the next."""
+    order = Window.partitionBy(*key).orderBy("ts", "event_id")
+    opens = F.when(F.lag("ts").over(order) >= F.col("ts") - F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
+    return events.withColumn("opens", opens).withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens").withColumn("size", F.count("*").over(Window.partitionBy(*key, "part")))
 
 
 @query("m1_sixty_second_dedupe")
 def m1(spark, sf_dir):
-    """Windows of a key in order; a key's events of one day are one group, and a window doesn't pass midnight."""
+    """The windows of every key (user and type): a window starts at its first event and counts those of the next 60 seconds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"], ignore_index=True)
         first = pdf["event_id"].iloc[fold_minute(pdf["ts"].tolist())].to_numpy()
         return pd.DataFrame({"event_id": first}).groupby("event_id").size().rename("n").reset_index()
 
-    events = load(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.to_date("ts").alias("day"))
-    return events.groupBy("event_type", "day").applyInPandas(run, "event_id long, n long")
+    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    runs = apart(events, ["user_id", "event_type"], "60 SECONDS")
+    folded = runs.where("size > 1").groupBy("user_id", "event_type", "part").applyInPandas(run, "event_id long, n long")
+    return folded.unionByName(runs.where("size = 1").select("event_id", F.lit(1).cast("long").alias("n")))
+
+
+_next_alert = """WITH RECURSIVE e AS (SELECT user_id, ts, MIN(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY user_id, ts),
+a AS (SELECT user_id, MIN(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT e.user_id, MIN(e.ts) AS ts FROM a JOIN e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 1 HOUR GROUP BY e.user_id, a.ts)
+SELECT e.event_id, e.user_id FROM a JOIN e ON e.user_id = a.user_id AND e.ts = a.ts"""
+
+
+@query("m3_cooldown", _next_alert)
+def m3(spark, sf_dir):
+    """Errors that alert: those more than an hour after their user's last alert."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"], ignore_index=True)
+        opened = [k == i for i, k in enumerate(fold_minute(pdf["ts"].tolist(), pd.Timedelta(hours=1)))]
+        return pdf.loc[opened, ["event_id", "user_id"]]
+
+    events = load(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "ts", "user_id")
+    runs = apart(events, ["user_id"], "1 HOUR")
+    folded = runs.where("size > 1").groupBy("user_id", "part").applyInPandas(run, "event_id long, user_id long")
+    return folded.unionByName(runs.where("size = 1").select("event_id", "user_id"))
