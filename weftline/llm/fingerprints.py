@@ -5,10 +5,11 @@ lexicons keeps a hashed share of them (a half down to a thousandth), and the ter
 one signature; the signatures together are the fingerprint. Two fingerprints are compared over the lexicons in which
 at least one of them keeps a few terms (1 to FEW): a change of a few terms leaves many of these as they were.
 
-Frequencies are counted over all documents, by hashed term (2 ** TERM_BITS of them). So the lexicon is a table of
-fixed size, whatever the corpus; it is built by one aggregation, 32 KB in
-all, and reaches the rows as a constant. Counting
-is pre-aggregated where the documents are read, so a frequent word costs each task one row.
+Frequencies are counted over all documents, for each term by itself (its hash of 64 bits), pre-aggregated where the
+documents are read, so a frequent word costs each task one row. A term of the band is in one of RARE documents or more,
+so the band holds at most RARE times the distinct terms of a mean document, however large the corpus. It reaches the rows
+as a constant of fixed size, two bits for each term among 2 ** BAND_BITS: every term of the band is kept, and of the
+others those whose two bits are both set by terms of the band (of 20,000 in the band, one in 700).
 
 Null text counts as empty; a text without a term of the band falls back on all its terms, and one without any term
 on the text itself; equal texts have equal fingerprints; an empty table gives no rows; rows that repeat a doc_id are
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-TERM_BITS = 18
+BAND_BITS = 20
 #: Terms in fewer documents than one in RARE, or in more than a share of COMMON, are outside the band.
 RARE, COMMON, LEAST = 1000, 0.2, 2
 #: Each lexicon takes the terms whose hash has its bits, from an offset on, all 0: (offset, bits).
@@ -31,29 +32,35 @@ FEW = 4
 
 
 def terms(text: Column) -> Column:
-    """The distinct hashed terms of a text: its runs of letters and digits in lower case."""
+    """The hashes of a text's distinct terms: its runs of letters and digits in lower case."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << TERM_BITS)).cast("int")))
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def places(term: Column) -> list[Column]:
+    """The two bits of a hashed term."""
+    return [F.shiftrightunsigned(term, at).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int") for at in (0, BAND_BITS)]
 
 
 def lexicon(docs: DataFrame) -> Column:
-    """Whether a hashed term's document frequency is in the band, as a bit in an array of 2 ** TERM_BITS / 64 numbers."""
+    """The bits of all terms whose document frequency is in the band, in an array of 2 ** BAND_BITS / 64 numbers."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     low, high = max(LEAST, -(-n // RARE)), max(LEAST, int(n * COMMON))
-    kept = counts.where(F.col("df").between(low, high))
-    words = kept.groupBy(F.shiftright("term", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, term & 63)")).alias("bits"))
+    kept = counts.where(F.col("df").between(low, high)).select(F.explode(F.array(*places(F.col("term")))).alias("place"))
+    words = kept.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits"))
     found = words.collect()  # of a fixed size, whatever the corpus
     # one literal; an array() of as many expressions would be analysed anew with every plan
     context = docs.sparkSession.sparkContext
-    bits = context._gateway.new_array(context._jvm.long, (1 << TERM_BITS) // 64)
+    bits = context._gateway.new_array(context._jvm.long, (1 << BAND_BITS) // 64)
     for r in found:
         bits[r.word] = r.bits
     return Column(context._jvm.org.apache.spark.sql.functions.lit(bits))
 
 
 def in_band(band: Column, term: Column) -> Column:
-    return F.getbit(F.get(band, F.shiftright(term, 6)), term.bitwiseAND(F.lit(63))) == 1
+    first, second = (F.getbit(F.get(band, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1 for p in places(term))
+    return first & second
 
 
 def keeps(at: int, bits: int):
@@ -66,7 +73,7 @@ def with_signatures(df: DataFrame, text: str, out: str, band: Column) -> DataFra
     every, kept, hashes = f"{out}_every", f"{out}_kept", f"{out}_hashes"
     df = df.withColumn(every, terms(F.col(text)))
     df = df.withColumn(kept, F.filter(every, lambda t: in_band(band, t)))
-    df = df.withColumn(hashes, F.array_sort(F.transform(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(every)), lambda t: F.xxhash64(t))))
+    df = df.withColumn(hashes, F.array_sort(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(every))))
     own = F.struct(F.lit(False).alias("few"), F.lower(F.hex(F.xxhash64(F.when(F.size(hashes) > 0, F.lit("")).otherwise(F.col(text)), F.col(hashes)))).alias("signature"))
     subsets = F.array(*(F.filter(hashes, keeps(at, bits)) for at, bits in LEXICONS))
     signed = F.transform(subsets, lambda s: F.struct(F.size(s).between(1, FEW).alias("few"), F.when(F.size(s) > 0, F.substring(F.lpad(F.lower(F.hex(F.xxhash64(s))), 16, "0"), 1, 8)).otherwise("").alias("signature")))
