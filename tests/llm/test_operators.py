@@ -180,8 +180,46 @@ def test_media(spark, odd):
     _, spans = media.features(np.concatenate((np.full(16000, 128, np.uint8), loud, np.full(16000, 128, np.uint8))).tobytes(), 16000)
     assert len(spans) == 1 and abs(spans[0][0] - 1) < 0.1 and abs(spans[0][1] - 2) < 0.1
     stored = media.store(odd.where("doc_id in (11, 17)"), common.scratch(spark, "m"))
-    tensors = media.as_tensors(media.windows(stored).toArrow())
+    measured = media.measure(stored, common.scratch(spark, "f"))
+    tensors = media.as_tensors(media.windows(measured).toArrow())
     assert tensors.schema.field("mel").type.shape == [media.WINDOW, media.MELS]
+    for r in media.describe(measured).collect():
+        mel, spans = media.features(media.pad(ODD[r.doc_id].encode()), media.RATE)
+        want = media.digest(mel, spans).split()
+        got = r.feature.split()
+        assert got[:6] == want[:6] and np.allclose([float(x) for x in got[6:]], [float(x) for x in want[6:]], atol=0.011)
+        assert [(x.start_s, x.end_s) for x in r.spans] == spans
+        mine = tensors.filter(np.array(tensors.column("doc_id")) == r.doc_id)
+        assert mine.num_rows == -(-len(mel) // media.WINDOW) and np.allclose(np.concatenate(mine.column("mel").combine_chunks().to_numpy_ndarray())[: len(mel)], mel, atol=1e-4)
+
+
+def test_fingerprints_are_those_of_brute_force(spark):
+    import re
+    from collections import Counter
+
+    import xxhash
+
+    texts = [prose(k, 40) for k in range(40)] + ["", "Some other Words, other words", "x1"]
+    words = [{xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\W_]+", t.lower()) if w} for t in texts]
+    df, n, mask = Counter(h for w in words for h in w), len(texts), (1 << fingerprints.BAND_BITS) - 1
+    low, high = max(fingerprints.LEAST, -(-n // fingerprints.RARE)), max(fingerprints.LEAST, int(n * fingerprints.COMMON))
+    band = {h for h, c in df.items() if low <= c <= high}
+    bits = {(h >> at) & mask for h in band for at in (0, fingerprints.BAND_BITS)}
+    kept = lambda h: h & mask in bits and (h >> fingerprints.BAND_BITS) & mask in bits
+    assert 0 < len(band) < len(df) and {h for h in df if kept(h)} == band
+
+    def chain(hashes, seed):
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        return seed
+
+    for r in fingerprints.fingerprints(table(spark, texts)).collect():
+        hashes = sorted([h for h in words[r.doc_id] if h in band] or words[r.doc_id], key=lambda h: h - (h >> 63 << 64))
+        want = [format(chain(hashes, xxhash.xxh64_intdigest(b"" if hashes else texts[r.doc_id].encode(), 42)), "x")]
+        for at, count in fingerprints.LEXICONS:
+            some = [h for h in hashes if (h >> at) & ((1 << count) - 1) == 0]
+            want.append(format(chain(some, 42), "016x")[:8] if some else "")
+        assert r.fingerprint == "-".join(want)
 
 
 def test_language(spark, odd):

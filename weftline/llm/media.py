@@ -29,7 +29,7 @@ from weftline.llm import common
 RATE, FEATURE_RATE = 16_000, 8_000
 FRAME, HOP, FFT, MELS = 200, 80, 256, 24
 #: Frames of a tensor, and of the block of samples worked on at once.
-WINDOW, BLOCK_FRAMES = 96, 4096
+WINDOW, BLOCK_FRAMES = 32, 4096
 #: A segment opens above the upper and closes below the lower of these shares of the clip's energy range.
 OPEN, CLOSE, LEAST_FRAMES = 0.6, 0.4, 3
 PAD = 64
@@ -156,53 +156,74 @@ def digest(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
     return f"{len(mel)} frames, {len(spans)} segments, {sum(b - a for a, b in spans):.3f} s; " + " ".join(f"{x + 0.0:.2f}" for x in mel.mean(axis=0))
 
 
-def describe(stored: DataFrame) -> DataFrame:
-    """Checksums and features of every stored clip, from its stored bytes."""
-    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+def tensors(mel: pa.Array) -> pa.ExtensionArray:
+    """Lists of WINDOW * MELS floats as Arrow's fixed-shape tensors of WINDOW by MELS."""
+    kind = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS), dim_names=("frame", "mel"))
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(mel.flatten().cast(pa.float32()), WINDOW * MELS))
+
+
+def measure(stored: DataFrame, path: str) -> DataFrame:
+    """Checksums and features of every stored clip, from its stored bytes, as Parquet that is read back.
+
+    Features are n_frames, spans (start_s and end_s of the segments) and mel, a list of windows of a fixed shape
+    (WINDOW * MELS floats, row by row; the last one is padded with its last frame), which tensors() types.
+    """
+    span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "n_frames": pa.int32(), "spans": span}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, held = [], [np.empty((0, WINDOW * MELS), np.float32)]
             for doc, n, media in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media")):
                 media = media.as_py()
                 payload, rate = from_wave(media)
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), digest(*features(payload, rate))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], list(kinds))
-
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
+                mel, spans = features(payload, rate)
+                held.append(np.pad(mel.astype(np.float32), ((0, -len(mel) % WINDOW), (0, 0)), mode="edge").reshape(-1, WINDOW * MELS))
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), [{"start_s": a, "end_s": z} for a, z in spans]))
+            ends, flat = np.cumsum([len(x) for x in held]), np.concatenate(held)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (WINDOW * MELS)), pa.array(flat.ravel()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each)], [*kinds, "mel"])
+
+    made = stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, spans array<struct<start_s:double,end_s:double>>, mel array<array<float>>")
+    made.write.option("compression", "zstd").parquet(path)
+    return stored.sparkSession.read.schema(made.schema).parquet(path)
 
-def windows(stored: DataFrame) -> DataFrame:
-    """doc_id, window, start_s, end_s, in_segment and mel (WINDOW * MELS floats, row by row) of every window of every clip.
 
-    The last window is padded with its last frame. as_tensors() gives the column its Arrow tensor type.
-    """
+def describe(measured: DataFrame) -> DataFrame:
+    """What measure() has of every clip, with its features in a line (feature), from the tensors and the time spans."""
+    kept = [c for c in measured.columns if c != "mel"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, media in zip(b.column("doc_id").to_pylist(), b.column("media")):
-                mel, spans = features(*from_wave(media.as_py()))
-                n = -(-len(mel) // WINDOW)
-                mel = np.pad(mel, ((0, n * WINDOW - len(mel)), (0, 0)), mode="edge").astype(np.float32)
-                starts = np.arange(n) * WINDOW * HOP / FEATURE_RATE
-                ends = starts + ((WINDOW - 1) * HOP + FRAME) / FEATURE_RATE
-                inside = [any(a < e and s < z for a, z in spans) for s, e in zip(starts, ends)]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WINDOW * MELS), pa.array(mel.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(starts), pa.array(ends), pa.array(inside), flat], ["doc_id", "window", "start_s", "end_s", "in_segment", "mel"])
+            mel = b.column("mel")
+            frames = tensors(mel.flatten()).to_numpy_ndarray().reshape(-1, MELS)
+            starts = (mel.offsets.to_numpy() - mel.offsets[0].as_py()).tolist()
+            told = [digest(frames[s * WINDOW : s * WINDOW + n].astype(np.float64), [(x["start_s"], x["end_s"]) for x in spans]) for s, n, spans in zip(starts, b.column("n_frames").to_pylist(), b.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(told, pa.string())], [*kept, "feature"])
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, window int, start_s double, end_s double, in_segment boolean, mel array<float>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in measured.schema if f.name in kept)
+    return measured.mapInArrow(run, f"{schema}, feature string")
+
+
+def windows(measured: DataFrame) -> DataFrame:
+    """doc_id, window, start_s, end_s, in_segment and mel of every window of every clip that measure() has."""
+    rows = measured.select("doc_id", "spans", F.posexplode("mel").alias("window", "mel"))
+    start = F.col("window") * WINDOW * HOP / FEATURE_RATE
+    end = start + ((WINDOW - 1) * HOP + FRAME) / FEATURE_RATE
+    inside = F.exists("spans", lambda s: (s["start_s"] < end) & (s["end_s"] > start))
+    return rows.select("doc_id", "window", start.alias("start_s"), end.alias("end_s"), inside.alias("in_segment"), "mel")
 
 
 def as_tensors(batch: pa.RecordBatch | pa.Table) -> pa.Table:
     """An Arrow table of windows() with mel as fixed-shape tensors of WINDOW by MELS."""
     table = pa.table(batch)
-    kind = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS), dim_names=("frame", "mel"))
-    at = table.schema.get_field_index("mel")
-    mel = table.column("mel").combine_chunks()
-    flat = pa.FixedSizeListArray.from_arrays(mel.flatten().cast(pa.float32()), WINDOW * MELS)
-    return table.set_column(at, pa.field("mel", kind), pa.ExtensionArray.from_storage(kind, flat))
+    mel = tensors(table.column("mel").combine_chunks())
+    return table.set_column(table.schema.get_field_index("mel"), pa.field("mel", mel.type), mel)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """What describe() tells of every document, stored first and read back."""
-    return describe(store(docs, common.scratch(docs.sparkSession, "media"))).select("*", (F.col("payload_bytes") / RATE).alias("seconds"))
+    """Checksums, time spans and features of every document: stored, read back, measured, and told from what was measured."""
+    spark = docs.sparkSession
+    stored = store(docs, common.scratch(spark, "media"))
+    return describe(measure(stored, common.scratch(spark, "features"))).select("*", (F.col("payload_bytes") / RATE).alias("seconds"))
