@@ -187,10 +187,10 @@ def test_media(spark, odd):
         mel, spans = media.features(media.pad(ODD[r.doc_id].encode()), media.RATE)
         want = media.digest(mel, spans).split()
         got = r.feature.split()
-        assert got[:6] == want[:6] and np.allclose([float(x) for x in got[6:]], [float(x) for x in want[6:]], atol=0.011)
+        assert got[:6] == want[:6] and np.allclose([float(x) for x in got[6:]], [float(x) for x in want[6:]], atol=0.02)
         assert [(x.start_s, x.end_s) for x in r.spans] == spans
         mine = tensors.filter(np.array(tensors.column("doc_id")) == r.doc_id)
-        assert mine.num_rows == -(-len(mel) // media.WINDOW) and np.allclose(np.concatenate(mine.column("mel").combine_chunks().to_numpy_ndarray())[: len(mel)], mel, atol=1e-4)
+        assert mine.num_rows == -(-len(mel) // media.WINDOW) and np.allclose(np.concatenate(mine.column("mel").combine_chunks().to_numpy_ndarray())[: len(mel)], mel, atol=0.501 / media.STEPS)
 
 
 def test_fingerprints_are_those_of_brute_force(spark):

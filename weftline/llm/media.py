@@ -30,6 +30,8 @@ RATE, FEATURE_RATE = 16_000, 8_000
 FRAME, HOP, FFT, MELS = 200, 80, 256, 24
 #: Frames of a tensor, and of the block of samples worked on at once.
 WINDOW, BLOCK_FRAMES = 32, 4096
+#: Log-mel values are kept in steps of one in STEPS (about 0.07 dB), so that Parquet keeps them by a small dictionary.
+STEPS = 64
 #: A segment opens above the upper and closes below the lower of these shares of the clip's energy range.
 OPEN, CLOSE, LEAST_FRAMES = 0.6, 0.4, 3
 PAD = 64
@@ -166,7 +168,8 @@ def measure(stored: DataFrame, path: str) -> DataFrame:
     """Checksums and features of every stored clip, from its stored bytes, as Parquet that is read back.
 
     Features are n_frames, spans (start_s and end_s of the segments) and mel, a list of windows of a fixed shape
-    (WINDOW * MELS floats, row by row; the last one is padded with its last frame), which tensors() types.
+    (WINDOW * MELS floats in steps of one in STEPS, row by row; the last one is padded with its last frame), which
+    tensors() types.
     """
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "n_frames": pa.int32(), "spans": span}
@@ -178,7 +181,7 @@ def measure(stored: DataFrame, path: str) -> DataFrame:
                 media = media.as_py()
                 payload, rate = from_wave(media)
                 mel, spans = features(payload, rate)
-                held.append(np.pad(mel.astype(np.float32), ((0, -len(mel) % WINDOW), (0, 0)), mode="edge").reshape(-1, WINDOW * MELS))
+                held.append(np.pad((np.round(mel * STEPS) / STEPS).astype(np.float32), ((0, -len(mel) % WINDOW), (0, 0)), mode="edge").reshape(-1, WINDOW * MELS))
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), [{"start_s": a, "end_s": z} for a, z in spans]))
             ends, flat = np.cumsum([len(x) for x in held]), np.concatenate(held)
             each = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * (WINDOW * MELS)), pa.array(flat.ravel()))
