@@ -15,7 +15,7 @@ from weftline.sources import readers, writers
 from weftline.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["a1_global_aggregates", "a11_funnel_rollup", "a16_percentiles", "a18_zscore_anomaly", "a22_min_max_normalise", "a27_pair_statistics", "j8_window_full_outer", "j10_scd_reconcile", "j17_band_join", "n2_lag_rate", "n7_ema", "t6_keep_latest_n", "u4_union_all_in_order", "x1_token_set", "x5_content_hash", "x10_canonical_url", "x16_sentences", "x19_readability", "r13_rank_fusion", "r20_content_value", "g4_hits", "t2_top_k_by_cosine", "s10_page_record"]
+SAMPLE = ["a1_global_aggregates", "a11_funnel_rollup", "a16_percentiles", "a18_zscore_anomaly", "a22_min_max_normalise", "a27_pair_statistics", "j8_window_full_outer", "j10_scd_reconcile", "j17_band_join", "n2_lag_rate", "n7_ema", "t6_keep_latest_n", "u4_union_all_in_order", "x1_token_set", "x5_content_hash", "x10_canonical_url", "x16_sentences", "x19_readability", "r13_rank_fusion", "r20_content_value", "g4_hits", "t2_top_k_by_cosine", "s10_page_record", "a32_bloom_membership", "v9_ranking_bake_off", "r33_reviewed_ndcg"]
 
 
 @pytest.fixture(scope="module")
@@ -136,6 +136,18 @@ def test_trees_of_any_depth(spark):
     assert [(r.label, r.nb_events) for r in got] == [("leaf", 5)]
 
 
+def test_bloom_filter_misses_nothing(spark):
+    from weftline.operators import further
+
+    assert further.bloom_size(1000) == (9586, 7)
+    m, k = further.bloom_size(3000)
+    words = further.bloom_filter(spark.range(3000), m, k)
+    got = {r.id: r.member for r in further.bloom_contains(spark.range(9000), "id", words, m, k).collect()}
+    assert all(got[i] for i in range(3000)) and sum(got[i] for i in range(3000, 9000)) < 0.02 * 6000
+    empty = further.bloom_filter(spark.range(0), *further.bloom_size(0))
+    assert not further.bloom_contains(spark.range(5), "id", empty, *further.bloom_size(0)).where("member").count()
+
+
 def test_equal_vectors_share_a_cluster(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.01, 1.0]), (9, [0.0, 1.0])], "id long, vec array<float>")
     assert dict((r.id, r.cluster) for r in more.vector_clusters(rows, 0.9).collect()) == {1: 1, 3: 1, 4: 4, 5: 4, 9: 4}
