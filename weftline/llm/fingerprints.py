@@ -9,7 +9,7 @@ Frequencies are counted over all documents, for each term by itself (its hash of
 documents are read, so a frequent word costs each task one row. A term of the band is in one of RARE documents or more,
 so the band holds at most RARE times the distinct terms of a mean document, however large the corpus. It reaches the rows
 as a constant of fixed size, two bits for each term among 2 ** BAND_BITS: every term of the band is kept, and of the
-others those whose two bits are both set by terms of the band (of 20,000 in the band, one in 700).
+others those whose two bits are both set by terms of the band (one in 160 where the band holds 43,000).
 
 Null text counts as empty; a text without a term of the band falls back on all its terms, and one without any term
 on the text itself; equal texts have equal fingerprints; an empty table gives no rows; rows that repeat a doc_id are
