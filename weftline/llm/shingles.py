@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
+from collections.abc import Callable
 
 import numpy as np
-import xxhash
-
-from weftline.llm import common
 
 #: Words of a shingle.
 K = 5
-_words = re.compile(r"\w+")
-_hashes, _ends = common.Cache(), common.Cache()
+#: Powers of the base that are kept; a longer text works out its own.
+POWERS = 1 << 18
+_base = np.uint64(0x9E3779B97F4A7C15)
+_inverse = np.uint64(pow(int(_base), -1, 1 << 64))
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _powers = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) | 1 for j in range(K)], np.uint64)
 
 
-def clear() -> None:
-    _hashes.clear()
-    _ends.clear()
-
-
-common.cached_by("shingles", clear)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -31,28 +25,77 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _look_up(cache: common.Cache, words: list[str], value) -> np.ndarray:
-    kept = cache.kept
-    new = set(words).difference(kept)
-    if cache.make_room(new):
-        new = set(words)
-    for w in new:
-        kept[w] = value(w)
-    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if n > len(_tables[0]):
+        size = max(n, min(POWERS, 2 * n))
+        made = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x)))) for x in (_base, _inverse)]
+        if size > POWERS:
+            return made
+        _tables[:] = made
+    return [x[:n] for x in _tables]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Of the runs of letters and digits, in lower case."""
-    return _look_up(_hashes, _words.findall(text.lower()), xxhash.xxh64_intdigest)
+class Sums:
+    """Sums of a sequence's values, each times a power of the base, from which a hash of any stretch follows."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[:-1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of 64 bits for each stretch, wherever it stands."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+@functools.cache
+def _table(kind: Callable[[str], bool]) -> np.ndarray:
+    return np.fromiter(map(kind, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
+
+
+@functools.cache
+def _values() -> np.ndarray:
+    """A number of 64 bits for each code point."""
+    return mix(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * _base)
 
 
-def _with_end(word: str) -> int:
-    return (xxhash.xxh64_intdigest(word) & ~1) | (word[-1] in ".!?")
+def _of_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _solid(c: str) -> bool:
+    return not c.isspace()
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def stretches(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the stretches where a mask holds."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
+    return edges[::2], edges[1::2]
+
+
+def tokens(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the white-space separated tokens of codes(text)."""
+    return stretches(_table(_solid)[c])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Of the runs of letters and digits, in lower case."""
+    c = codes(text.lower())
+    return Sums(_values()[c]).of(*stretches(_table(_of_word)[c]))
 
 
-def token_hashes(tokens: list[str]) -> np.ndarray:
-    """Of white-space separated tokens; the lowest bit tells whether a token ends a sentence."""
-    return _look_up(_ends, tokens, _with_end)
+def token_hashes(text: str) -> np.ndarray:
+    """Of white-space separated tokens, in lower case; the lowest bit tells whether a token ends a sentence."""
+    c = codes(text.lower())
+    starts, ends = tokens(c)
+    last = c[ends - 1]
+    ends_it = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    return (Sums(_values()[c]).of(starts, ends) & ~np.uint64(1)) | ends_it
 
 
 def kmers(h: np.ndarray) -> np.ndarray:
