@@ -114,7 +114,7 @@ class Labeller:
         self.languages, self.candidates = model["languages"], model["candidates"]
         self.usual = self.languages.index(model["usual"]) if self.languages else None
         self.grams = {g: k for k, g in enumerate(model["weights"])}
-        self.weights = np.array([*model["weights"].values(), np.zeros(len(self.languages))]).reshape(-1, len(self.languages))
+        self.weights = np.array([*model["weights"].values(), np.zeros(len(self.languages))]).reshape(len(self.grams) + 1, len(self.languages))
         self.index: dict[str, int] = {}
         #: For every word met: its scores, its length, and whether the scores tell anything.
         self.table, self.lengths, self.told = np.empty((1024, len(self.languages)), np.float32), np.empty(1024, np.int32), np.empty(1024, bool)
