@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import byte_bpe, common, fingerprints, language, media, near_dedup, packing, quality, substring_dedup, token_counts, token_files
+from weftline.llm import byte_bpe, collocations, common, fim, fingerprints, language, line_rules, media, near_dedup, packing, quality, substring_dedup, token_counts, token_files
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.rules(common.documents(spark, sf_dir))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(common.documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_near_dedup, op4_token_counts, op5_fingerprints, op6_substring_dedup, op7_byte_bpe, op8_media, op9_language, op10_packing)}
+    return {f.__name__: f for f in (op1_token_files, op2_quality, op3_near_dedup, op4_token_counts, op5_fingerprints, op6_substring_dedup, op7_byte_bpe, op8_media, op9_language, op10_packing, op11_line_rules, op12_fim, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_line_rules": line_rules.SQL, "op12_fim": fim.SQL, "op13_collocations": collocations.SQL}
