@@ -112,22 +112,10 @@ def test_streams(spark, tmp_path):
 
     assert sorted(r.event_id for r in run(jobs.dedupe(stream, "event_id"), "deduped", "append")) == [1, 2, 3]
     assert [r.n for r in run(jobs.daily_rollup(stream), "daily", "update")] == [4]
-    assert max(r.n for r in run(jobs.counted_with_state(jobs.dedupe(stream, "event_id")), "counted", "update")) == 2
+    assert sorted((r.event_id, r.n) for r in run(jobs.counted_with_state(jobs.dedupe(stream, "event_id")), "counted", "update")) == [(1, 2), (3, 1)]
     assert jobs.fold_minute([r * __import__("pandas").Timedelta(seconds=1) for r in (0, 30, 61, 70)]) == [0, 0, 2, 2]
 
 
-def test_greedy_selection_goes_through_all_candidates(spark):
-    from weftline.operators.more import select_greedily
-    from weftline.plans.registry import tables
-    from weftline.plans.views import REVIEWS
-
-    tables(spark, DATA)
-    rows = spark.sql(f"WITH {REVIEWS} SELECT suggestion, host % 100 AS host, destination, score FROM reviews WHERE status = 'pending'")
-    brute = select_greedily(rows.toPandas())
-    got = catalogue.QUERIES["t10_greedy_selection"](spark, DATA)
-    assert sorted(r.suggestion for r in got.collect()) == sorted(brute["suggestion"])
-
-
 def test_trees_of_any_depth(spark):
     tree = [{"label": "leaf", "nb_events": 5}]
     for k in range(6):
@@ -176,3 +164,25 @@ def test_readability_counts(spark):
         assert (r.words, r.syllables) == (len(words), sum(syl))
         sentences = max(1, len(re.findall("[.!?]+", r.text)))
         assert abs(r.fog - 0.4 * (len(words) / sentences + 100 * sum(s >= 3 for s in syl) / len(words))) < 1e-5
+
+
+def test_state_of_windows_follows_event_time(spark, tmp_path):
+    """Late events change a window, one that merges two tells the second with 0, and what the watermark passed goes."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string").option("maxFilesPerTrigger", 1).json(str(folder)).withWatermark("ts", "10 minutes")
+
+    def feed(name, *rows):
+        (folder / f"{name}.json").write_text("".join(json.dumps({"event_id": i, "ts": f"2024-01-01T{t}Z", "user_id": 7, "event_type": "view"}) + "\n" for i, t in rows))
+
+    def told_after(name, *rows):
+        feed(name, *rows)
+        got = []
+        q = jobs.counted_with_state(stream).writeStream.foreachBatch(lambda df, _: got.extend((r.event_id, r.n) for r in df.collect())).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+        return sorted(got)
+
+    assert told_after("a", (2, "10:00:50"), (3, "10:01:55")) == [(2, 1), (3, 1)]
+    assert told_after("b", (1, "10:00:00")) == [(1, 2), (2, 0)]
+    assert told_after("c", (9, "10:30:00")) == [(9, 1)]
+    assert told_after("d", (8, "10:00:30"), (10, "10:30:20")) == [(9, 2)]

@@ -131,32 +131,6 @@ def v6(spark, sf_dir):
     return out.select("vec_id", *(f"c{p}" for p in range(8)))
 
 
-def select_greedily(pdf: pd.DataFrame, per_host: int = 2) -> pd.DataFrame:
-    """The best candidate of each destination while its host has room and the reverse link isn't chosen."""
-    used, chosen, links = {}, [], set()
-    taken = set()
-    for r in pdf.sort_values(["score", "suggestion"], ascending=[False, True]).itertuples():
-        if r.destination in taken or used.get(r.host, 0) >= per_host or (r.destination, r.host) in links:
-            continue
-        taken.add(r.destination)
-        used[r.host] = used.get(r.host, 0) + 1
-        links.add((r.host, r.destination))
-        chosen.append(r.suggestion)
-    return pd.DataFrame({"suggestion": chosen})
-
-
-@query("t10_greedy_selection")
-def t10(spark, sf_dir):
-    """One pass in order of score over the best candidate of each host and destination.
-
-    What keeps that one out (a full host, a reverse link, a destination that is taken) keeps the others of both out.
-    """
-    tables(spark, sf_dir)
-    rows = spark.sql(f"WITH {REVIEWS} SELECT suggestion, host % 100 AS host, destination, score FROM reviews WHERE status = 'pending'")
-    best = rows.withColumn("rn", F.row_number().over(Window.partitionBy("destination", "host").orderBy(F.desc("score"), "suggestion"))).where("rn = 1").drop("rn")
-    return best.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: select_greedily(p), "suggestion long")
-
-
 @query("r24_uplift")
 def r24(spark, sf_dir):
     """Chance that the later rate is higher, by draws from both posteriors; the seed is the item's."""

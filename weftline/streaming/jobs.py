@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +26,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour
     return events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("events")).select("user_id", F.col("s.start").alias("opened"), "events")
 
 
-def fold_minute(ts: list, open_for: pd.Timedelta = pd.Timedelta(seconds=60)) -> list[int]:
+def fold_minute(ts: list, open_for=pd.Timedelta(seconds=60)) -> list[int]:
     """Number of the first event each event is counted with: a window starts at its first event and isn't extended."""
     out, first, k = [], None, -1
     for i, t in enumerate(ts):
@@ -36,26 +37,37 @@ def fold_minute(ts: list, open_for: pd.Timedelta = pd.Timedelta(seconds=60)) ->
 
 
 def counted_with_state(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """event_id and count for every opened window of a key (user_id, event_type), with state in the stream."""
+    """event_id and count of every window of a key (user_id, event_type), with state in the stream; events has a watermark on ts.
+
+    A window starts at its first event by ts and counts those of the next seconds. Events may come in any order: until
+    the watermark has passed a window, a late one changes it, and its new count is told again; a window that a late
+    event has merged into an earlier one is told with 0. What the watermark has passed leaves the state, by event time.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first_ms, first_id, n = state.get if state.exists else (None, None, 0)
-        out = []
+        at, ids, told_ids, told_counts = (list(x) for x in state.get) if state.exists else ([], [], [], [])
         for pdf in frames:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-                ms = r.ts.value // 1_000_000
-                if first_ms is None or ms - first_ms > seconds * 1000:
-                    first_ms, first_id, n = ms, r.event_id, 0
-                n += 1
-                out.append((key[0], key[1], first_id, n))
-        state.update((first_ms, first_id, n))
-        if state.hasTimedOut:
+            at += pdf["ms"].tolist()
+            ids += pdf["event_id"].tolist()
+        order = sorted(range(len(at)), key=lambda i: (at[i], ids[i]))
+        at, ids = [at[i] for i in order], [ids[i] for i in order]
+        first = fold_minute(at, seconds * 1000)
+        counts, told = Counter(first), dict(zip(told_ids, told_counts))
+        now = {ids[i]: n for i, n in counts.items()}
+        out = [(i, n) for i, n in now.items() if told.get(i) != n] + [(i, 0) for i in told if i not in now]
+        passed = state.getCurrentWatermarkMs()
+        keep = next((k for k, i in enumerate(first) if at[i] + seconds * 1000 >= passed), len(at))
+        if keep == len(at):
             state.remove()
         else:
-            state.setTimeoutDuration(2 * seconds * 1000)
-        yield pd.DataFrame(out, columns=["user_id", "event_type", "event_id", "n"])
-
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id long, event_type string, event_id long, n long", "first_ms long, first_id long, n long", "update", "ProcessingTimeTimeout")
+            here = [i for i in ids[keep:] if i in now]
+            state.update((at[keep:], ids[keep:], here, [now[i] for i in here]))
+            state.setTimeoutTimestamp(max(at[first[keep]] + seconds * 1000, passed) + 1)
+        yield pd.DataFrame([(*key, *x) for x in out], columns=["user_id", "event_type", "event_id", "n"])
+
+    rows = events.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    kept = "ms array<long>, ids array<long>, told_ids array<long>, told_counts array<long>"
+    return rows.groupBy("user_id", "event_type").applyInPandasWithState(run, "user_id long, event_type string, event_id long, n long", kept, "update", "EventTimeTimeout")
 
 
 def apart(events: DataFrame, key: list[str], gap: str) -> DataFrame:
