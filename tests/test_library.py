@@ -63,10 +63,6 @@ def test_graphs(spark):
     assert sum(rank.values()) == pytest.approx(1) and min(rank.values()) > 0
     assert {r.node: r.root for r in graph.labels(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
     assert {r.node: r.core for r in graph.cores(edges).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 8: 1, 9: 1}
-    import pandas as pd
-
-    got = graph.blocks(pd.DataFrame({"a": [1, 2, 3, 3], "b": [2, 3, 1, 4]})).set_index("node")
-    assert got["articulation"].to_dict() == {1: False, 2: False, 3: True, 4: False} and got["block"].to_dict() == {1: 3, 2: 3, 3: 3, 4: 2}
 
 
 def test_close_pairs(spark):

@@ -1,6 +1,6 @@
 """Every registered query outside the training-data operators."""
 
-from weftline.operators import further, graph, more, ranking, relational, selection, text, vectors  # noqa: F401
+from weftline.operators import anchors, further, graph, more, phrases, ranking, relational, selection, text, vectors  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
 from weftline.sources import readers  # noqa: F401
 from weftline.streaming import jobs  # noqa: F401

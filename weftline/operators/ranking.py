@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.plans.registry import load, query, sql, tables
+from weftline.plans.rounds import dropped, written
 from weftline.plans.views import EDGES, PAIRS, REVIEWS, SNAPSHOTS, TELEMETRY
 
 _totals = f"""WITH {TELEMETRY}, t AS (SELECT user_id, CAST(SUM(impressions) AS DOUBLE) AS views, CAST(SUM(clicks) AS DOUBLE) AS clicks, CAST(SUM(conversions) AS DOUBLE) AS conversions, CAST(SUM(engaged) AS DOUBLE) AS engaged, CAST(SUM(quick_exit) AS DOUBLE) AS quick_exit, CAST(SUM(sessions) AS DOUBLE) AS sessions FROM telemetry GROUP BY user_id)"""
@@ -106,33 +107,46 @@ def r26(spark, sf_dir):
     return games.groupBy("league").applyInPandas(lambda p: elo(p), "league long, player long, rating double")
 
 
-def slate(pdf: pd.DataFrame, trade: float = 0.65, size: int = 5) -> pd.DataFrame:
-    """Maximal marginal relevance: the best mix of score and distance from what is chosen, one after another."""
-    import numpy as np
-
-    pdf = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
-    v = np.stack(pdf["vec"].to_numpy()).astype(float)
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    close, chosen = np.zeros(len(v)), []
-    for _ in range(min(size, len(v))):
-        value = trade * pdf["score"].to_numpy() - (1 - trade) * close
-        value[chosen] = -np.inf
-        chosen.append(int(value.argmax()))
-        close = np.maximum(close, v @ v[chosen[-1]])
-    return pd.DataFrame({"host": pdf["host"].iloc[0], "id": pdf["id"].iloc[chosen], "place": range(1, len(chosen) + 1)})
+def slates(rows: DataFrame, trade: float = 0.65, size: int = 5, cap: float = 0.9, window: float = 0.3) -> DataFrame:
+    """host, id, place, redundant: maximal marginal relevance of rows (host, id, score, vec) within each host.
+
+    A pick is the best mix of score and distance from the host's picks so far, among its items whose score is within
+    window of its best one; redundant tells that it is closer than cap to one of them. Ties: the higher score, then the
+    lesser id. A round picks one item of every host: all items keep their closeness to what is chosen, which the next
+    pick alone can raise, and the best one is an aggregate. So no host is a group of its own, and no item is left out.
+    """
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    units = rows.select("host", "id", F.col("score").cast("double").alias("score"), F.transform("vec", lambda x: x.cast("double")).alias("vec")).withColumn("vec", F.transform("vec", lambda x: x / F.greatest(norm, F.lit(1e-300))))
+    top = units.groupBy("host").agg(F.max("score").alias("top"))
+    left = written(units.join(top, "host").where(F.col("score") >= F.col("top") - window).select("host", "id", "score", "vec", F.lit(0.0).alias("close")), "left")
+    out = None
+    for place in range(1, size + 1):
+        value = trade * F.col("score") - (1 - trade) * F.col("close")
+        pick = written(left.groupBy("host").agg(F.max_by(F.struct("id", "vec", "close"), F.struct(value, "score", -F.col("id"))).alias("p")).select("host", "p.*"), "pick")
+        told = pick.select("host", "id", F.lit(place).cast("long").alias("place"), (F.col("close") > cap).alias("redundant"))
+        out = told if out is None else out.unionByName(told)
+        if place < size:
+            near = F.aggregate(F.zip_with("vec", "own", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            chosen = pick.select("host", F.col("id").alias("own_id"), F.col("vec").alias("own"))
+            new = left.join(chosen, "host").where("id <> own_id").select("host", "id", "score", "vec", F.greatest("close", near).alias("close"))
+            new = written(new, "left")
+            dropped(left)
+            left = new
+    return out
 
 
 @query("r15_diverse_slate")
 def r15(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("host"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.pmod(F.xxhash64("vec_id"), F.lit(1000)) / 1000.0).alias("score"))
-    # only the best hundred of a host reach its slate, so a group is small whatever the host's size
-    best = rows.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "id"))).where("rn <= 100").drop("rn")
-    return best.groupBy("host").applyInPandas(lambda p: slate(p), "host long, id long, place long")
+    return slates(rows)
+
+
+_stop = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOPWORDS)
 
 
 @query(
     "t3_top_k_by_overlap",
-    f"WITH t AS (SELECT item_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '{X.TOKEN.replace(chr(39), chr(39) * 2)}')), lambda w: w NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)}))) AS w FROM benchmark), o AS (SELECT x.item_id AS dest, y.item_id AS host, COUNT(*) AS overlap FROM t x JOIN t y ON x.w = y.w AND x.item_id <> y.item_id GROUP BY x.item_id, y.item_id) SELECT dest, host, overlap FROM (SELECT dest, host, overlap, row_number() OVER (PARTITION BY dest ORDER BY overlap DESC, host) AS rn FROM o) x WHERE rn <= 5",
+    f"WITH t AS (SELECT item_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '{X.TOKEN.replace(chr(39), chr(39) * 2)}')), lambda w: w NOT IN ({_stop}))) AS w FROM benchmark), o AS (SELECT x.item_id AS dest, y.item_id AS host, COUNT(*) AS overlap FROM t x JOIN t y ON x.w = y.w AND x.item_id <> y.item_id GROUP BY x.item_id, y.item_id) SELECT dest, host, overlap FROM (SELECT dest, host, overlap, row_number() OVER (PARTITION BY dest ORDER BY overlap DESC, host) AS rn FROM o) x WHERE rn <= 5",
 )
 def t3(spark, sf_dir):
     t = load(spark, sf_dir, "benchmark").select("item_id", F.explode(X.token_set(F.col("text"))).alias("w"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.plans.registry import load, query, sql
 
-_stop = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+_stop = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOPWORDS)
 _tok = "regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')"
 _set = f"list_filter(list_distinct({_tok}), lambda w: w NOT IN ({_stop}))"
 
@@ -19,11 +19,11 @@ def x1(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.token_set(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
-@query("x3_clean_bbcode", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS clean FROM documents WHERE NOT regexp_matches(text, '[\\[\\]]')")
+@query("x3_clean_bbcode", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\[/?[A-Za-z*][^\\]]*\\]', ' ', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS clean FROM documents")
 def x3(spark, sf_dir):
-    """Texts are wrapped in tags; those that hold brackets of their own are left to the tests."""
+    """Every text, wrapped in nested blocks that must go; the tables' own texts hold no blocks, so SQL strips tags alone."""
     wrapped = F.concat(F.lit("[QUOTE=a][b]x[/b] [QUOTE]y[code]z[/code][/QUOTE][/QUOTE][b]"), F.col("text"), F.lit("[/b]"))
-    return _docs(spark, sf_dir).where(~F.col("text").rlike(r"[\[\]]")).select("doc_id", X.clean_bbcode(wrapped).alias("clean"))
+    return _docs(spark, sf_dir).select("doc_id", X.clean_bbcode(wrapped).alias("clean"))
 
 
 @query("x4_clean_html", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>|<!--[\s\S]*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS body FROM pages")
