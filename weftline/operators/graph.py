@@ -10,7 +10,7 @@ from weftline.plans.rounds import dropped, written
 from weftline.plans.views import EDGES, REVIEWS
 
 #: Rounds that an oracle unrolls; plans go on until nothing changes by more than a tolerance, which takes fewer here.
-ROUNDS = 32
+ROUNDS = 64
 TOLERANCE, MOST_ROUNDS = 1e-8, 100
 #: Rounds in one plan where no score has to be summed up between them; then a table is written.
 AT_ONCE = 4
@@ -130,7 +130,7 @@ def hits(links: DataFrame, rounds: int = MOST_ROUNDS, tolerance: float = TOLERAN
     return nodes.select("node", (F.col("authority") / (sums[1] or 1.0)).alias("authority"), (F.col("hub") / (sums[0] or 1.0)).alias("hub"))
 
 
-def _hits_sql(rounds: int = 16) -> str:
+def _hits_sql(rounds: int = 48) -> str:
     steps = ["h0 AS MATERIALIZED (SELECT node, 1e0 AS h FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) x)"]
     for k in range(1, rounds + 1):
         steps.append(f"a{k} AS MATERIALIZED (SELECT dst AS node, SUM(w * h) / SUM(SUM(w * h)) OVER () AS a FROM edges JOIN h{k - 1} ON src = node GROUP BY dst), h{k} AS MATERIALIZED (SELECT src AS node, SUM(w * a) / SUM(SUM(w * a)) OVER () AS h FROM edges JOIN a{k} ON dst = node GROUP BY src)")
