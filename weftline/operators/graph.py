@@ -89,12 +89,14 @@ def automatic_seeds(links: DataFrame, quality: DataFrame, pool: int = 100, kept:
     return seeds if not seeds.isEmpty() else first(pagerank(links), kept)
 
 
+_unrounded = _pagerank_sql("1e0").replace("ROUND(score, 6) AS score", "score")
 _reversed = EDGES.replace("edges AS (", "forward AS (") + ", edges AS (SELECT dst AS src, src AS dst, w FROM forward)"
 
 
 @query(
     "g6_automatic_seeds",
-    "SELECT node, ROUND(score, 6) AS score FROM (SELECT r.node, r.score FROM (SELECT * FROM (" + _pagerank_sql("1e0").replace(EDGES, _reversed).replace("ROUND(score, 6)", "score") + ") q ORDER BY score DESC, node LIMIT 100) r JOIN supplier ON s_suppkey = r.node WHERE s_acctbal / 10000 >= 0.6 AND s_nationkey <= 16 ORDER BY r.score DESC, r.node LIMIT 20) x",
+    f"WITH back AS (SELECT * FROM ({_unrounded.replace(EDGES, _reversed)}) x ORDER BY score DESC, node LIMIT 100), q AS (SELECT back.node, back.score FROM back JOIN supplier ON s_suppkey = back.node WHERE s_acctbal / 10000 >= 0.6 AND s_nationkey <= 16 ORDER BY back.score DESC, back.node LIMIT 20), "
+    f"f AS (SELECT node, score FROM ({_unrounded}) x ORDER BY score DESC, node LIMIT 20) SELECT node, ROUND(score, 6) AS score FROM q UNION ALL SELECT node, ROUND(score, 6) AS score FROM f WHERE NOT EXISTS (SELECT 1 FROM q)",
 )
 def g6(spark, sf_dir):
     """Suppliers as pages: the balance is their quality, the nation's number stands for readability, none is spam."""
