@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
 import shutil
@@ -132,9 +133,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
+
+
+@contextlib.contextmanager
+def noting(paths: list[str]):
+    """Scratch tables that the block makes are put down in paths, so that they can be dropped once what was made of them is written."""
+    before = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(before)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
