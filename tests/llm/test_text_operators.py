@@ -204,3 +204,11 @@ def test_language_where_nothing_can_be_learned(spark, odd, tmp_path):
         assert len(got) == docs.count() and {(r.lang_pred, r.score, r.n_spans) for r in got} <= {("und", 0.0, 0)}
         assert language.keep(docs, language.learn(docs)).collect() == []
     assert language.Labeller(language.fit([])).label("some text")[:2] == ("und", 0.0)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
