@@ -37,7 +37,6 @@ sql(
 )
 sql("r2_weights", " UNION ALL ".join(f"SELECT '{k}' AS name, {v}E0 AS weight" for k, v in WEIGHTS.items()))
 sql("r7_rare_terms", "WITH t AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS term FROM orders JOIN lineitem ON l_orderkey = o_orderkey), d AS (SELECT term, COUNT(*) AS df FROM t GROUP BY term), c AS (SELECT c_nationkey AS nation, term, COUNT(*) AS support FROM t JOIN customer ON c_custkey = doc GROUP BY c_nationkey, term) SELECT nation, c.term, ROUND(0.35E0 * LEAST(1.0E0, support / 3.0E0) + 0.20E0 / df + 0.45E0, 6) AS evidence FROM c JOIN d ON d.term = c.term WHERE support >= 2 AND df <= 40")
-sql("r31_coverage_drift", f"WITH {REVIEWS}, m AS (SELECT reviewed_at, suggestion, CASE WHEN status = 'approved' THEN 0 ELSE 1 END AS missed FROM reviews WHERE status <> 'pending') SELECT suggestion, ROUND(AVG(CAST(missed AS DOUBLE)) OVER (ORDER BY reviewed_at, suggestion ROWS BETWEEN 499 PRECEDING AND CURRENT ROW), 6) AS miscoverage FROM m WHERE suggestion % 10 = 0")
 sql("r34_sequential_test", f"WITH {REVIEWS}, c AS (SELECT host % 2 AS arm, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(CASE WHEN status = 'approved' THEN 1 ELSE 0 END) AS DOUBLE) AS ok FROM reviews WHERE status <> 'pending' GROUP BY host % 2) SELECT arm, ROUND(ok * LN(0.55E0 / 0.50E0) + (n - ok) * LN(0.45E0 / 0.50E0), 6) AS llr, CASE WHEN ok * LN(0.55E0 / 0.50E0) + (n - ok) * LN(0.45E0 / 0.50E0) >= LN(19) THEN 'promote' WHEN ok * LN(0.55E0 / 0.50E0) + (n - ok) * LN(0.45E0 / 0.50E0) <= -LN(19) THEN 'reject' ELSE 'go_on' END AS verdict FROM c")
 sql("r37_cosine_schedule", "SELECT c_custkey AS step, ROUND(0.001E0 + 0.5E0 * (0.1E0 - 0.001E0) * (1 + COS(PI() * c_custkey / 1500)), 9) AS rate FROM customer WHERE c_custkey <= 1500")
 sql("r41_sidecar_sum", f"WITH {TELEMETRY} SELECT user_id, ROUND(0.05E0 * CAST(SUM(clicks) AS DOUBLE) / SUM(sessions) + 0.03E0 * CAST(SUM(engaged) AS DOUBLE) / SUM(sessions) - 0.02E0 * CAST(SUM(quick_exit) AS DOUBLE) / SUM(sessions), 6) AS total FROM telemetry GROUP BY user_id")
