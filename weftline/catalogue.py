@@ -2,7 +2,7 @@
 
 from weftline.operators import anchors, further, graph, more, phrases, ranking, relational, scoring, selection, text, tuning, vectors, walks  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES
-from weftline.sources import readers  # noqa: F401
+from weftline.sources import readers, snapshots  # noqa: F401
 from weftline.streaming import jobs  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
