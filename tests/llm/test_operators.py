@@ -193,6 +193,15 @@ def test_media(spark, odd):
         assert mine.num_rows == -(-len(mel) // media.WINDOW) and np.allclose(np.concatenate(mine.column("mel").combine_chunks().to_numpy_ndarray())[: len(mel)], mel, atol=0.501 / media.STEPS)
 
 
+def test_band_is_sized_by_its_terms(spark, monkeypatch):
+    assert [fingerprints.band_bits(n) for n in (0, 43_690, 43_691, 200_000)] == [20, 20, 21, 23]
+    texts = [prose(k, 40) for k in range(40)]
+    small = [r.fingerprint for r in by_id(fingerprints.fingerprints(table(spark, texts)))]
+    monkeypatch.setattr(fingerprints, "SPREAD", 1 << 20)  # more bits tell no term of the band apart from itself
+    assert fingerprints.lexicon(common.id_text(table(spark, texts)))[1] > fingerprints.LEAST_BITS
+    assert [r.fingerprint for r in by_id(fingerprints.fingerprints(table(spark, texts)))] == small
+
+
 def test_fingerprints_are_those_of_brute_force(spark):
     import re
     from collections import Counter
@@ -201,11 +210,11 @@ def test_fingerprints_are_those_of_brute_force(spark):
 
     texts = [prose(k, 40) for k in range(40)] + ["", "Some other Words, other words", "x1"]
     words = [{xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\W_]+", t.lower()) if w} for t in texts]
-    df, n, mask = Counter(h for w in words for h in w), len(texts), (1 << fingerprints.BAND_BITS) - 1
+    df, n, mask = Counter(h for w in words for h in w), len(texts), (1 << fingerprints.LEAST_BITS) - 1
     low, high = max(fingerprints.LEAST, -(-n // fingerprints.RARE)), max(fingerprints.LEAST, int(n * fingerprints.COMMON))
     band = {h for h, c in df.items() if low <= c <= high}
-    bits = {(h >> at) & mask for h in band for at in (0, fingerprints.BAND_BITS)}
-    kept = lambda h: h & mask in bits and (h >> fingerprints.BAND_BITS) & mask in bits
+    bits = {(h >> at) & mask for h in band for at in (0, fingerprints.LEAST_BITS)}
+    kept = lambda h: h & mask in bits and (h >> fingerprints.LEAST_BITS) & mask in bits
     assert 0 < len(band) < len(df) and {h for h in df if kept(h)} == band
 
     def chain(hashes, seed):
@@ -260,6 +269,52 @@ def test_quality(spark, odd):
     assert quality.classify(odd.limit(0), labels).count() == 0
 
 
+def two_views(n):
+    """Texts and sources that each tell the quality of nearly all rows, with faults of their own."""
+    r = np.random.default_rng(3)
+    y = r.random(n) < 0.6
+    texts = [prose(k, 40) if good == (r.random() > 0.05) else prose(k, 40).replace("a", "#") for k, good in enumerate(y)]
+    sources = [f"{'good' if good == (r.random() > 0.05) else 'bad'}{r.integers(3)}" for good in y]
+    return y, texts, sources
+
+
+def test_views_teach_each_other(spark):
+    y, texts, sources = two_views(600)
+    docs = spark.createDataFrame([(k, t, "en", s, 100) for k, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (80, 200):
+        labels = spark.createDataFrame([Row(doc_id=k, quality=int(y[k])) for k in range(n)])
+        alone, _ = quality.learn(docs, labels, handed=0)
+        taught, share = quality.learn(docs, labels)
+        x = np.array([quality.content_features(t) for t in texts[n:]]), np.array([quality.meta_features(s, "en", 100) for s in sources[n:]])
+        before, after = ([((p >= 0.5) == y[n:]).mean() for p in quality.score(m, *x)] for m in (alone, taught))
+        assert abs(share - y[:n].mean()) < 1e-9
+        assert after[2] > before[2] + 0.01 and after[2] >= 0.94 and after[2] >= max(after[:2]) - 0.005
+
+
+def test_surest_rows_are_those_of_brute_force(spark):
+    y, texts, sources = two_views(300)
+    texts[200:240], sources[200:240] = [texts[100]] * 40, [sources[100]] * 40  # copies: one vote
+    docs = quality.columns(spark.createDataFrame([(k, t, "en", s, 100) for k, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, lang string, source string, n_chars long").repartition(7))
+    told = spark.createDataFrame([Row(doc_id=k, quality=int(y[k])) for k in range(60)])
+    content, meta, labels = quality.sample(docs, told)
+    model = quality.co_train(content, meta, labels, lambda m, g: [])
+    kept = [r.tobytes() for r in quality.half(np.array([quality.content_features(t) for t in texts]), np.array([quality.meta_features(s, "en", 100) for s in sources]))]
+    p = quality.score(model, *quality.whole(kept))
+    used = {quality.key_of(kept[70])}
+    want = set()
+    for view in (0, 1):
+        for label, n in ((1, 24), (0, 16)):
+            sure = {}
+            for k in range(60, 300):
+                key, s = quality.key_of(kept[k]), round(float(p[view][k] if label else 1 - p[view][k]), 6)
+                if s >= quality.SURE and key not in used:
+                    sure[key] = s
+            want |= {(view, label, key) for key in sorted(sure, key=lambda key: (-sure[key], key))[:n]}
+    got = quality.surest_rows(docs, told.select("doc_id"), model, 0.6, used, 40)
+    assert want and {r[:3] for r in got} == want and all(quality.key_of(x) == key for _, _, key, x in got)
+    assert quality.surest_rows(docs, docs.select("doc_id"), model, 0.6, set(), 40) == []
+
+
 def test_near_dedup(spark, odd):
     base = [prose(k, 200) for k in range(12)]
     edited = [" ".join(w if i != 50 else "changed" for i, w in enumerate(t.split())) for t in base[:6]]

@@ -7,9 +7,9 @@ at least one of them keeps a few terms (1 to FEW): a change of a few terms leave
 
 Frequencies are counted over all documents, for each term by itself (its hash of 64 bits), pre-aggregated where the
 documents are read, so a frequent word costs each task one row. A term of the band is in one of RARE documents or more,
-so the band holds at most RARE times the distinct terms of a mean document, however large the corpus. It reaches the rows
-as a constant of fixed size, two bits for each term among 2 ** BAND_BITS: every term of the band is kept, and of the
-others those whose two bits are both set by terms of the band (one in 160 where the band holds 43,000).
+so the band holds at most RARE times the distinct terms of a mean document, however large the corpus. It is counted, and
+reaches the rows as one constant with two bits set for each term, among SPREAD or more times as many bits as terms: every
+term of the band is kept, and of the others those whose two bits are both set by terms of the band, at most one in 144.
 
 Null text counts as empty; a text without a term of the band falls back on all its terms, and one without any term
 on the text itself; equal texts have equal fingerprints; an empty table gives no rows; rows that repeat a doc_id are
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-BAND_BITS = 20
+#: Bits for each term of the band at least, and the power of two that the band's bits begin at.
+SPREAD, LEAST_BITS = 24, 20
 #: Terms in fewer documents than one in RARE, or in more than a share of COMMON, are outside the band.
 RARE, COMMON, LEAST = 1000, 0.2, 2
 #: Each lexicon takes the terms whose hash has its bits, from an offset on, all 0: (offset, bits).
@@ -37,29 +38,38 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def places(term: Column) -> list[Column]:
-    """The two bits of a hashed term."""
-    return [F.shiftrightunsigned(term, at).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int") for at in (0, BAND_BITS)]
+def places(term: Column, size: int) -> list[Column]:
+    """The two bits of a hashed term among 2 ** size."""
+    return [F.shiftrightunsigned(term, at).bitwiseAND(F.lit((1 << size) - 1)).cast("int") for at in (0, size)]
 
 
-def lexicon(docs: DataFrame) -> Column:
-    """The bits of all terms whose document frequency is in the band, in an array of 2 ** BAND_BITS / 64 numbers."""
+def band_bits(terms: int) -> int:
+    """The power of two that a band of so many terms takes; a band of 89 million terms fills the largest, 2 ** 31."""
+    return min(31, max(LEAST_BITS, (SPREAD * terms - 1).bit_length()))
+
+
+def lexicon(docs: DataFrame) -> tuple[Column, int]:
+    """(bits, size): the bits of all terms whose document frequency is in the band, in an array of 2 ** size / 64 numbers."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     low, high = max(LEAST, -(-n // RARE)), max(LEAST, int(n * COMMON))
-    kept = counts.where(F.col("df").between(low, high)).select(F.explode(F.array(*places(F.col("term")))).alias("place"))
-    words = kept.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits"))
-    found = words.collect()  # of a fixed size, whatever the corpus
+    kept = common.materialize(counts.where(F.col("df").between(low, high)).select("term"), "band")
+    size = band_bits(kept.count())
+    at = kept.select(F.explode(F.array(*places(F.col("term"), size))).alias("place"))
+    words = at.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits"))
+    found = words.collect()  # two numbers a term of the band at most, which doesn't grow with the number of documents
+    common.drop_table(kept)
     # one literal; an array() of as many expressions would be analysed anew with every plan
     context = docs.sparkSession.sparkContext
-    bits = context._gateway.new_array(context._jvm.long, (1 << BAND_BITS) // 64)
+    bits = context._gateway.new_array(context._jvm.long, (1 << size) // 64)
     for r in found:
         bits[r.word] = r.bits
-    return Column(context._jvm.org.apache.spark.sql.functions.lit(bits))
+    return Column(context._jvm.org.apache.spark.sql.functions.lit(bits)), size
 
 
-def in_band(band: Column, term: Column) -> Column:
-    first, second = (F.getbit(F.get(band, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1 for p in places(term))
+def in_band(band: tuple[Column, int], term: Column) -> Column:
+    bits, size = band
+    first, second = (F.getbit(F.get(bits, F.shiftright(p, 6)), p.bitwiseAND(F.lit(63))) == 1 for p in places(term, size))
     return first & second
 
 
@@ -68,7 +78,7 @@ def keeps(at: int, bits: int):
     return lambda h: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) == 0
 
 
-def with_signatures(df: DataFrame, text: str, out: str, band: Column) -> DataFrame:
+def with_signatures(df: DataFrame, text: str, out: str, band: tuple[Column, int]) -> DataFrame:
     """df with out: an array of (few, signature) for each lexicon, signature empty where the lexicon keeps nothing."""
     every, kept, hashes = f"{out}_every", f"{out}_kept", f"{out}_hashes"
     df = df.withColumn(every, terms(F.col(text)))
