@@ -5,28 +5,31 @@ fitted on labelled rows; over some rounds each labels the unlabelled rows it is
 from. Both are then calibrated on labelled rows that neither learned from, and their calibrated log-odds, less the
 prior that both contain, add up to the score of every document.
 
-The models are fitted on bounded samples (LABELLED and UNLABELLED rows, of the least hashes of doc_id); every document
-is scored where it is read. A null text has the features of an empty one, null metadata is a value of its own. With
+The models start from a bounded sample of labelled rows (LABELLED, of the least hashes of doc_id). In each round every
+unlabelled document is scored where it is read, and each view hands over the HANDED documents it is surest of among
+all of them; documents alike in both views count as one. Equal certainties go by the hash of the features. Every
+document is scored in the end. A null text has the features of an empty one, null metadata is a value of its own. With
 no label, or one class only, every document scores the share of good labels (1 without any) and is kept. An empty
 table gives no rows; repeated rows are scored each; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import common
 
-#: Rows the models are fitted on at most.
-LABELLED, UNLABELLED = 4000, 4000
-#: Rounds of co-training, pseudo-labels a view hands over in each (share of the unlabelled rows) and how sure it must be.
-ROUNDS, SHARE, SURE = 4, 0.08, 0.9
+#: Labelled rows the models start from at most.
+LABELLED = 4000
+#: Rounds of co-training, pseudo-labels a view hands over in each at most and how sure it must be.
+ROUNDS, HANDED, SURE = 4, 320, 0.9
 THRESHOLD = 0.5
 CONTENT, META = 1024, 160
 
@@ -83,38 +86,35 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
     return max(0.0, float(c[0])), float(c[1])
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> dict | None:
-    """Both views' weights and calibration from rows with y 1 (good), 0 (bad) or -1 (unlabelled)."""
-    known, open_rows = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    held = known[np.arange(len(known)) % 4 == 3]
-    known = np.setdiff1d(known, held)
-    if len(set(y[known])) < 2 or len(set(y[held])) < 2:
+#: A pseudo-label: the view that is sure of it, the label, the content features and the metadata features.
+Handed = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, surest: Callable[[dict, float], list[Handed]], rounds: int = ROUNDS) -> dict | None:
+    """Both views' weights and calibration from labelled rows (y 1 or 0) and the pseudo-labels of surest(model, share of good rows).
+
+    What a view is sure of is learned by the other one. Every fourth labelled row is held back for the calibration.
+    """
+    held = np.arange(len(y)) % 4 == 3
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
-    views = (content, meta)
-    pools = [(known, y[known]), (known, y[known])]
-    w = [fit_logistic(x[rows], labels) for x, (rows, labels) in zip(views, pools)]
+    views, good = (content, meta), float((y == 1).mean())
+    pools = [(x[~held], y[~held]) for x in views]
+
+    def fitted() -> dict:
+        w = [fit_logistic(*pool) for pool in pools]
+        return {"weights": w, "scale": [calibrate(logits(w[v], views[v][held]), y[held]) for v in (0, 1)], "prior": float(np.log(good / (1 - good)))}
+
+    model = fitted()
     for _ in range(rounds):
-        if not len(open_rows):
-            break
-        scale = [calibrate(logits(w[v], views[v][held]), y[held]) for v in (0, 1)]
-        p = [1 / (1 + np.exp(-np.clip(scale[v][0] * logits(w[v], views[v][open_rows]) + scale[v][1], -40, 40))) for v in (0, 1)]
-        used = np.zeros(len(open_rows), bool)
-        for v in (0, 1):  # what view v is sure of goes to the other one, in the proportion of the labels
-            quota = max(1, int(SHARE * len(open_rows)))
-            good = y[known].mean()
-            for label, sure, n in ((1, p[v], quota * good), (0, 1 - p[v], quota * (1 - good))):
-                top = np.argsort(-sure, kind="stable")[: max(1, round(n))]
-                top = top[sure[top] >= SURE]
-                rows, labels = pools[1 - v]
-                pools[1 - v] = np.append(rows, open_rows[top]), np.append(labels, np.full(len(top), label))
-                used[top] = True
-        if not used.any():
+        handed = surest(model, float((y[~held] == 1).mean()))
+        if not handed:
             break
-        open_rows = open_rows[~used]
-        w = [fit_logistic(x[rows], labels) for x, (rows, labels) in zip(views, pools)]
-    scale = [calibrate(logits(w[v], views[v][held]), y[held]) for v in (0, 1)]
-    good = (y[y >= 0] == 1).mean()
-    return {"weights": w, "scale": scale, "prior": float(np.log(good / (1 - good)))}
+        for view, label, *x in handed:
+            rows, labels = pools[1 - view]
+            pools[1 - view] = np.vstack((rows, x[1 - view])), np.append(labels, label)
+        model = fitted()
+    return model
 
 
 def score(model: dict, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,28 +135,98 @@ def _features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array([content_features(t or "") for t in text]).reshape(-1, CONTENT + 4), np.array([meta_features(*r) for r in zip(source, lang, n)]).reshape(-1, META)
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[dict | None, float]:
-    """(model, share of good labels) from bounded samples; only their features reach the driver."""
-    docs = columns(docs)
-    told = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    ids = docs.select("doc_id").distinct().join(told, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("y"))
-    pick = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(ids.where("y >= 0"), labelled).unionByName(pick(ids.where("y < 0"), unlabelled))
+def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content features, metadata features and labels of a bounded sample of labelled rows, in an order by hashes."""
+    ids = docs.select("doc_id").distinct().join(labels, "doc_id")
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, meta = _features(b)
-            both = np.column_stack((content, meta)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "y", "x"])
-
-    # a broadcast of labelled + unlabelled ids at most
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("y").cast("int").alias("y"), "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, y int, x binary")
-    found = sorted(((r.doc_id, r.y, bytes(r.x)) for r in rows.orderBy(F.xxhash64("doc_id"), "x").limit(labelled + unlabelled).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    y = np.array([r[1] for r in found], np.int64)
-    if not (y >= 0).any():
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in half(*_features(b))], pa.binary())], ["doc_id", "y", "x"])
+
+    # a broadcast of labelled ids at most
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, y int, x binary")
+    found = sorted(((r.doc_id, r.y, bytes(r.x)) for r in rows.orderBy(F.xxhash64("doc_id"), "x").limit(labelled).collect()), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
+    return *whole([r[2] for r in found]), np.array([r[1] for r in found], np.int64)
+
+
+def half(content: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """Both views' features side by side, as they are kept."""
+    return np.column_stack((content, meta)).astype(np.float16)
+
+
+def whole(kept: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array([np.frombuffer(k, np.float16) for k in kept], np.float32).reshape(-1, CONTENT + 4 + META)
+    return x[:, : CONTENT + 4], x[:, CONTENT + 4 :]
+
+
+def key_of(features: bytes) -> int:
+    """64 bits of a row's features; rows alike in both views share it."""
+    return int.from_bytes(hashlib.blake2b(features, digest_size=8).digest(), "little", signed=True)
+
+
+def surest_rows(docs: DataFrame, labels: DataFrame, model: dict, good: float, used: set[int], handed: int = HANDED) -> list[tuple[int, int, int, bytes]]:
+    """(view, label, key, features) of the rows that each view is surest of, among all unlabelled documents but those used.
+
+    Scores of what a view is sure of, 40 bytes a row, are joined with the labels and grouped by their features' key; no
+    text is shuffled. Each task passes on handed rows of a view and label at most, so does the driver get no more.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model, used))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, used = sent.value
+        for b in batches:
+            content, meta = whole([r.tobytes() for r in half(*_features(b))])
+            p = [np.round(x, 6) for x in score(model, content, meta)[:2]]
+            near = np.flatnonzero(np.maximum(np.abs(p[0] - 0.5), np.abs(p[1] - 0.5)) >= SURE - 0.5)
+            keys = np.array([key_of(r.tobytes()) for r in half(content[near], meta[near])], np.int64)
+            fresh = np.array([k not in used for k in keys.tolist()], bool)
+            near, keys = near[fresh], keys[fresh]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(near)), pa.array(keys), pa.array(p[0][near]), pa.array(p[1][near])], ["doc_id", "key", "content", "meta"])
+
+    rows = docs.mapInArrow(scored, "doc_id long, key long, content double, meta double").join(labels, "doc_id", "left_anti")
+    votes = F.array(*(F.struct(F.lit(v).alias("view"), F.lit(label).alias("label"), (F.col(c) if label else 1 - F.col(c)).alias("sure")) for v, c in enumerate(("content", "meta")) for label in (1, 0)))
+    votes = rows.select("doc_id", "key", F.explode(votes).alias("vote")).select("doc_id", "key", "vote.*").where(F.col("sure") >= SURE)
+    one = votes.groupBy("view", "label", "key").agg(F.max("sure").alias("sure"), F.min("doc_id").alias("doc_id"))
+    quota = F.when(F.col("label") == 1, max(1, round(handed * good))).otherwise(max(1, round(handed * (1 - good))))
+    place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "key"))
+    top = one.withColumn("place", place).where(f"place <= {handed}").where(F.col("place") <= quota).collect()
+    if not top:
+        return []
+    wanted: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(top, key=lambda r: (r.view, r.label, r.place)):
+        wanted.setdefault(r.key, []).append((r.view, r.label))
+    ids = docs.sparkSession.createDataFrame(sorted({(r.doc_id,) for r in top}), "doc_id long")
+    asked = docs.sparkSession.sparkContext.broadcast(set(wanted))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [r.tobytes() for r in half(*_features(b))]
+            keys = [key_of(r) for r in x]
+            at = [i for i, k in enumerate(keys) if k in asked.value]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.int64()), pa.array([x[i] for i in at], pa.binary())], ["key", "x"])
+
+    # a broadcast of four times handed ids at most
+    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(features, "key long, x binary").groupBy("key").agg(F.first("x").alias("x"))
+    x = {r.key: bytes(r.x) for r in found.collect()}
+    return [(view, label, k, x[k]) for k, sides in wanted.items() for view, label in sides]
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, handed: int = HANDED) -> tuple[dict | None, float]:
+    """(model, share of good labels); only features of bounded numbers of rows reach the driver."""
+    docs = columns(docs)
+    told = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    content, meta, y = sample(docs, told, labelled)
+    if not len(y):
         return None, 1.0
-    x = np.array([np.frombuffer(r[2], np.float16) for r in found]).astype(np.float32)
-    return co_train(x[:, : CONTENT + 4], x[:, CONTENT + 4 :], y), float((y[y >= 0] == 1).mean())
+    used: set[int] = set()
+
+    def surest(model: dict, good: float) -> list[Handed]:
+        rows = surest_rows(docs, told.select("doc_id"), model, good, used, handed)
+        used.update(key for _, _, key, _ in rows)
+        return [(view, label, *(x[0] for x in whole([kept]))) for view, label, _, kept in rows]
+
+    return co_train(content, meta, y, surest), float((y == 1).mean())
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
