@@ -15,7 +15,7 @@ from weftline.sources import readers, writers
 from weftline.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["a1_global_aggregates", "a11_funnel_rollup", "a16_percentiles", "a18_zscore_anomaly", "a22_min_max_normalise", "a27_pair_statistics", "j8_window_full_outer", "j10_scd_reconcile", "j17_band_join", "n2_lag_rate", "n7_ema", "t6_keep_latest_n", "u4_union_all_in_order", "x1_token_set", "x5_content_hash", "x10_canonical_url", "x16_sentences", "x19_readability", "r13_rank_fusion", "r20_content_value", "g4_hits", "t2_top_k_by_cosine", "s10_page_record", "a32_bloom_membership", "v9_ranking_bake_off", "r33_reviewed_ndcg", "v4_second_stage", "r1_composite_components"]
+SAMPLE = ["a1_global_aggregates", "a11_funnel_rollup", "a16_percentiles", "a18_zscore_anomaly", "a22_min_max_normalise", "a27_pair_statistics", "j8_window_full_outer", "j10_scd_reconcile", "j17_band_join", "n2_lag_rate", "n7_ema", "t6_keep_latest_n", "u4_union_all_in_order", "x1_token_set", "x5_content_hash", "x10_canonical_url", "x16_sentences", "x19_readability", "r13_rank_fusion", "r20_content_value", "g4_hits", "t2_top_k_by_cosine", "s10_page_record", "a32_bloom_membership", "v9_ranking_bake_off", "r33_reviewed_ndcg", "v4_second_stage", "r1_composite_components", "v1_normalised_values", "v8_gate_verdicts", "v9_provider_bake_off", "x9_nfkc_composed", "x10_url_variants", "x23_anchor_oddity"]
 
 
 @pytest.fixture(scope="module")

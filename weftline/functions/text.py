@@ -18,7 +18,9 @@ that's the their theirs them themselves then there there's these they they'd the
 wasn't we we'd we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would wouldn't you
 you'd you'll you're you've your yours yourself yourselves""".split()
 TOKEN = "[a-z0-9]+(?:'[a-z0-9]+)?"
-TRACKING = ("utm_", "gclid", "fbclid", "msclkid", "mc_cid", "mc_eid", "ref")
+TRACKING = ("utm_", "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "_ga", "ref", "referrer", "source", "yclid", "igshid")
+#: Ports that their scheme implies.
+PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 
 
 def tokens(text: Column) -> Column:
@@ -128,13 +130,48 @@ def readability(text: Column) -> list[Column]:
     return [n.alias("words"), total.cast("long").alias("syllables"), grade.alias("grade"), fog.alias("fog")]
 
 
-def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment or tracking parameters, query sorted."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)), r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike("^(" + "|".join(TRACKING) + ")")))
-    return F.concat(host, F.when(path == "", "/").otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+def _decoded(text: Column) -> Column:
+    """Percent-decoded as UTF-8; a percent sign without two digits after it, and every plus sign, stands for itself."""
+    return F.try_url_decode(F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
+
+
+def _encoded(text: Column, safe: str) -> Column:
+    """Percent-encoded but for letters, digits, - . _ ~ and the safe characters; a space is %20."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.url_encode(text), r"\+", "%20"), r"\*", "%2A"), "%7E", "~")
+    for c in sorted(safe, key="%".__eq__):  # the percent sign last, so that no code is read twice
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its . and .. segments resolved and runs of slashes as one; an empty one is the root."""
+    parts = F.split(path, "/")
+    drop = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
+    kept = F.aggregate(drop, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), end), "/{2,}", "/")
+
+
+def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
+    """Scheme and host in lower case, no default port, dot segments, fragment or tracking parameters, one percent-encoding, query sorted.
+
+    A user name keeps its case. A URL without scheme or host gives null.
+    """
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^/?#@:\[]+)(?::([0-9]*))?([^?#]*)"
+    scheme, user, host, port, path = (F.regexp_extract(url, pattern, k) for k in range(1, 6))
+    scheme = F.lower(scheme)
+    implied = F.coalesce(*(F.when((scheme == s) & (port.try_cast("int") == p), True) for s, p in PORTS.items()), F.lit(False))
+    shown = F.when((port == "") | implied, "").otherwise(F.concat(F.lit(":"), port))
+    at = F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@"), F.concat(user, F.lit("@"))).otherwise("")
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    plain = lambda t: _decoded(F.replace(t, F.lit("+"), F.lit("%20")))
+    pairs = F.transform(pairs, lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).rlike("^(" + "|".join(tracking) + ")")))
+    form = lambda t: F.replace(_encoded(t, ""), F.lit("%20"), F.lit("+"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(form(p["k"]), F.lit("="), form(p["v"]))), "&")
+    whole = F.concat(scheme, F.lit("://"), at, F.lower(host), shown, _without_dots(_encoded(_decoded(path), "/:@%+,;=~!$&'()*")), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(host != "", whole)
 
 
 def url_depth(url: Column) -> Column:
