@@ -162,6 +162,16 @@ def test_readability_counts(spark):
         assert abs(r.fog - 0.4 * (len(words) / sentences + 100 * sum(s >= 3 for s in syl) / len(words))) < 1e-5
 
 
+def test_overlaps_count_all_but_the_usual_words(spark, tmp_path):
+    texts = ["Before all that, about more of the tree", "about all of it more than before", "that is the stone", "don't"]
+    spark.createDataFrame([*enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.dest, r.host, r.overlap) for r in catalogue.QUERIES["t3_top_k_by_overlap"](spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 4), (1, 0, 4)]
+    c = duckdb.connect()
+    c.execute(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert sorted(c.execute(catalogue.ORACLES["t3_top_k_by_overlap"]).fetchall()) == got
+
+
 def test_state_of_windows_follows_event_time(spark, tmp_path):
     """Late events change a window, one that merges two tells the second with 0, and what the watermark passed goes."""
     folder = tmp_path / "in"
