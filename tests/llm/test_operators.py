@@ -449,6 +449,24 @@ def test_hubs_do_not_part_a_bucket(spark):
     assert dict((r.node, r.root) for r in common.components(got).collect()) == {i: 0 for i in range(14)}
 
 
+def test_frequent_word_pairs_part_nothing(spark, monkeypatch):
+    """One bucket of texts whose word pairs all stand in more than BLOCK of them; those of a near pair differ in one section."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    r = np.random.default_rng(5)
+    sections = [f"sep {' '.join(f'w{k}x{i}' for i in range(10))} sep" for k in range(20)]
+    texts = []
+    for _ in range(20):
+        chosen = r.permutation(20)[:13].tolist()
+        texts.append(" ".join(sections[k] for k in chosen[:12]))
+        texts.append(" ".join(sections[k] for k in [*chosen[:5], chosen[12], *chosen[6:12]]))
+    h = [near_dedup.shingles.word_hashes(t) for t in texts]
+    brute = {i: i - i % 2 for i in range(40)}
+    assert all((near_dedup.similarity(h[i], h[j]) >= near_dedup.THRESHOLD) == (brute[i] == brute[j]) for i in range(40) for j in range(i))
+    rows = spark.createDataFrame([(7, i, len(h[i])) for i in range(40)], "key long, id long, size int")
+    got = near_dedup.links(rows, common.id_text(table(spark, texts)), near_dedup.THRESHOLD)
+    assert dict((r.node, r.root) for r in common.components(got).collect()) == brute
+
+
 def test_substring_dedup(spark, odd):
     passage = prose(77, 80)
     host = lambda k: prose(100 + k, 60)[:-1]

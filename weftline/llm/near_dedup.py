@@ -11,7 +11,8 @@ Copies first: texts of the same words are one class by a hash, pre-aggregated be
 each class goes on. A bucket of at most SMALL documents is compared in full, a larger one with one member, its hub;
 after a second hub the buckets that still hold several components are compared across them. Those of more than BLOCK
 members are dealt anew for that by the rarest word pairs of each text, of which near-duplicates share one (see
-rare_pairs()). Connected documents share a class, named by the least doc_id.
+rare_pairs()); the documents of pairs that more than BLOCK have are compared block by block, all that are not joined yet
+with all. Connected documents share a class, named by the least doc_id.
 
 A null text or one without a word is a class of its own; texts shorter than K words share one sketch, of all their
 words; rows that repeat a doc_id with other texts are compared each, and the doc_id has a row for each class; rows
@@ -162,10 +163,10 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def linked(ids: np.ndarray, roots: np.ndarray, words: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+def linked(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, words: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """Near-duplicate pairs across roots, as many as join them: a pair that those before it join is not compared.
 
-    What is left out has less in common than the threshold
+    Two of one side (0 or more) are not either. What is left out has less in common than the threshold
     asks for, by the sizes or by the counts of words in BINS bins, which bound the alignment from above.
     """
     n = np.array([len(x) for x in words])
@@ -173,7 +174,7 @@ def linked(ids: np.ndarray, roots: np.ndarray, words: list[np.ndarray], threshol
     names, comp = np.unique(roots, return_inverse=True)
     out = []
     for i in range(len(ids)):
-        other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((sides[i + 1 :] != sides[i]) | (sides[i] < 0)))
         both = np.minimum(n[other], n[i])
         other = other[both >= threshold * np.maximum(n[other], n[i]) - 1e-6]
         if not len(other):
@@ -187,22 +188,44 @@ def linked(ids: np.ndarray, roots: np.ndarray, words: list[np.ndarray], threshol
     return out
 
 
-def several(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """Of rows (key, id, size, root) those whose key has several roots (and most members at most), with n, the members of the key."""
-    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    keys = keys.where(F.col("n") <= most) if most else keys
+def several(rows: DataFrame) -> DataFrame:
+    """Of rows (key, id, size, root) those whose key has several roots, with n, the members of the key."""
+    keys = mixed_keys(rows)
     return common.materialize(rows.join(keys.select("key", "n"), "key").select("key", "id", "size", "root", "n"), "several")
 
 
+def mixed_keys(rows: DataFrame) -> DataFrame:
+    """key and n (its members) of the keys of rows (key, id, size, root) that have several roots."""
+    return rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+
+
 def across(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that join the components within the keys of rows (key, id, root), of BLOCK members at most each."""
+    """Pairs (a, b) that join the components within the keys of rows (key, id, root, side), of about BLOCK members on each side at most."""
     words = hashed(docs, rows.select(F.col("id").alias("doc_id")))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        pairs = linked(g["id"].to_numpy(), g["root"].to_numpy(), [np.frombuffer(w, "<u4") for w in g["words"]], threshold)
+        pairs = linked(g["id"].to_numpy(), g["root"].to_numpy(), g["side"].to_numpy(), [np.frombuffer(w, "<u4") for w in g["words"]], threshold)
         return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    return rows.select("key", "id", "root").join(words, "id").groupBy("key").applyInPandas(run, "a long, b long")
+    return rows.select("key", "id", "root", "side").join(words, "id").groupBy("key").applyInPandas(run, "a long, b long")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (id, root) as rows (key, id, root, side) in which every two documents of different roots meet, one on either side.
+
+    The documents of the root that has most are left out on one side. Either side is dealt by a hash to blocks of about
+    BLOCK, and a key holds a block of each.
+    """
+    main = rows.groupBy("root").count().orderBy(F.desc("count"), "root").first().root
+    others = rows.where(F.col("root") != main)
+    ours, theirs = (-(-x.count() // BLOCK) for x in (others, rows))
+    if not ours:
+        return rows.limit(0).select(F.lit(0).cast("long").alias("key"), "id", "root", F.lit(0).alias("side"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    along = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    first = others.select("id", "root", block(ours).alias("mine"), along(theirs).alias("other")).select((F.col("mine") * theirs + F.col("other")).alias("key"), "id", "root", F.lit(0).alias("side"))
+    second = rows.select("id", "root", block(theirs).alias("mine"), along(ours).alias("other")).select((F.col("other") * theirs + F.col("mine")).alias("key"), "id", "root", F.lit(1).alias("side"))
+    return first.unionByName(second)
 
 
 def neighbours(words: np.ndarray) -> np.ndarray:
@@ -211,16 +234,17 @@ def neighbours(words: np.ndarray) -> np.ndarray:
     return shingles.mix(w[:-1] * _PAIR + w[1:])
 
 
-def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """several() of the documents in rows (id, size, root) by the rarest word pairs of each, in place of the keys they had.
+def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The documents in rows (id, size, root) by the rarest word pairs of each, in place of the keys they had.
+
+    The first table has several() of them by the pairs that BLOCK of them have at most; the second has (id, size,
+    root) of the documents that share the other pairs, each once, to be compared by in_blocks().
 
     Of two texts of n words or more whose alignment reaches the threshold t, at most (1 - t) * n words on either side
     are left over, and each parts one pair of aligned neighbours; so (2 * t - 1) * n - 1 neighbouring pairs of words
     at least are in both. In any one order of all pairs, then, the first ones of each text, as many as may differ and
     one more, hold a common one. Ordered by rarity they have few documents, and are not those of a passage that
-    thousands share. Pairs of words in more than BLOCK of the documents are left out: in texts of which they make up
-    no more than 2 * (1 - t), the others alone hold a common one, and texts that they nearly fill are near each other
-    and so near the hubs.
+    thousands share; only texts that frequent pairs fill to 2 * t - 1 or more have some of those among the first ones.
     """
     ids = common.materialize(rows.select("id", "size", "root").distinct(), "ids")
     words = common.materialize(hashed(docs, ids.select(F.col("id").alias("doc_id"))).join(ids, "id"), "rooted")
@@ -249,7 +273,20 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
             each = np.repeat(np.arange(b.num_rows), counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(b.column(c).take(pa.array(each)) for c in ("id", "size", "root"))], ["key", "id", "size", "root"])
 
-    return several(common.materialize(words.select("id", "size", "root", "words").mapInArrow(first, "key long, id long, size int, root long"), "rare"), BLOCK)
+    rare = common.materialize(words.select("id", "size", "root", "words").mapInArrow(first, "key long, id long, size int, root long"), "rare")
+    keys = common.materialize(mixed_keys(rare), "mixed")
+    few = common.materialize(rare.join(keys.where(F.col("n") <= BLOCK), "key").select("key", "id", "size", "root"), "several")
+    full = np.zeros(RARITY, bool)
+    for r in keys.where(F.col("n") > BLOCK).select(F.pmod("key", F.lit(RARITY)).alias("at")).distinct().collect():  # RARITY rows at most
+        full[r.at] = True
+    told = docs.sparkSession.sparkContext.broadcast(full)
+
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # and a few whose key shares a bit with theirs
+        for b in batches:
+            yield b.filter(pa.array(told.value[b.column("key").to_numpy() % RARITY])).select(["id", "size", "root"])
+
+    crowd = rare.limit(0).select("id", "size", "root") if not full.any() else rare.mapInArrow(crowded, "id long, size int, root long").distinct()
+    return few, common.materialize(crowd, "crowd")
 
 
 def links(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -291,9 +328,16 @@ def links(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     mixed = rooted(mixed.select("key", "id", "size"), found)  # a key of one component stays one
     large = mixed.where(F.col("n") > BLOCK)
     rest = mixed.where(F.col("n") <= BLOCK)
+    crowd = None
     if not large.isEmpty():
-        rest = rest.unionByName(rare_pairs(large, docs, threshold))
-    return found.unionByName(common.materialize(across(rest, docs, threshold), "across"))
+        few, crowd = rare_pairs(large, docs, threshold)
+        rest = rest.select("key", "id", "size", "root").unionByName(few)
+    found = found.unionByName(common.materialize(across(rest.withColumn("side", F.lit(-1)), docs, threshold), "across"))
+    if crowd is None or crowd.isEmpty():
+        return found
+    roots = common.materialize(common.components(found, "crossed"), "roots")  # what is joined by now is not compared again
+    crowd = common.materialize(crowd.join(roots, crowd["id"] == roots["node"], "left").select("id", F.coalesce(roots["root"], "id").alias("root")), "crowd")
+    return found.unionByName(common.materialize(across(common.materialize(in_blocks(crowd), "blocks"), docs, threshold), "across"))
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
