@@ -52,6 +52,17 @@ def test_cached_encoding_is_the_librarys(name):
             assert list(array("I", ids)) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_full_cache_keeps_what_recurs():
+    path = P.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), tokens.PieceEncoder(path, tokens.as_bytes, b"".join, key="few", kept=30)
+    calls, encode.tokenizer = [], type("Counted", (), {"encode_batch_fast": lambda _, x, **k: calls.append(x) or t.encode_batch_fast(x, **k)})()
+    for k in range(4):
+        text = "all of the usual words here" + "".join(f" rare{k}x{i}" for i in range(40))
+        assert list(array("I", encode([text])[0])) == t.encode(text, add_special_tokens=False).ids
+        assert "usual" in encode.tail and sum("usual" in x for c in calls for x in c) == 1
+    assert len(encode.tail) < 4 * 40
+
+
 def test_token_counts(odd):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rows = by_id(token_counts.token_counts(odd, P.path("byte_bpe_50k.json"), limit=512))

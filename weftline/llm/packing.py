@@ -127,12 +127,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """One row for each piece with its ids' checksum; a piece that fills a sequence has a number for it, below 0."""
+def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID, kept: int | None = None) -> DataFrame:
+    """One row for each piece with its ids' checksum; a piece that fills a sequence has a number for it, below 0. kept bounds a worker's cache."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.PieceEncoder(path, tokens.as_bytes, b"".join)
+        encode = tokens.PieceEncoder(path, tokens.as_bytes, b"".join, kept=kept)
         own = TaskContext.get().partitionId() << 40
         for b in batches:
             rows: list[tuple] = []
@@ -150,9 +150,9 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int
     return common.id_text(docs).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, kept: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    cut_up = common.materialize(pieces_of(docs, path, capacity, end_id), "pieces")
+    cut_up = common.materialize(pieces_of(docs, path, capacity, end_id, kept), "pieces")
     rest = cut_up.where("own_sequence is null").drop("own_sequence")
     shards = max(1, -(-rest.count() // shard_pieces))
 
