@@ -212,3 +212,16 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_packs_with_a_small_cache(spark, monkeypatch, tmp_path):
+    """Its workers hold what earlier stages loaded, so the last one is told how many pieces to keep; the rows are the same."""
+    import corpus_pipeline
+    from weftline.llm import packing, tokens
+
+    told, pack = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: told.append(k) or pack(*a, **k))
+    docs = spark.createDataFrame([(i, f"one text of {i} and more {i * i}") for i in range(40)], "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()))
+    assert told == [{"kept": tokens.FEW_PIECES}] and tokens.FEW_PIECES < tokens.CACHE_PIECES
+    assert got == sorted(map(tuple, pack(docs, corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")).collect()))
