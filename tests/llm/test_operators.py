@@ -556,3 +556,32 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(i, int(i < 20), 0) for i in range(0, 43) if i not in (20, 21, 22)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == set(range(20))
+
+
+def test_components_of_stars_need_no_round(spark):
+    """Edges that are stars of their least nodes are written once; every other set goes on to its least nodes."""
+    for edges, tables in (([(5, 1), (6, 1), (7, 2)], 1), ([], 1), ([(5, 1), (1, 0)], 2), ([(5, 1), (5, 2)], 2)):
+        made = []
+        with common.noting(made):
+            got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        want = {n: n for e in edges for n in e}
+        for _ in edges:
+            for a, b in edges:
+                least = min(want[a], want[b])
+                want = {n: least if r in (want[a], want[b]) else r for n, r in want.items()}
+        assert got == want and len(made) == tables
+
+
+def test_counted_tables_have_few_files(spark):
+    """A small table of many shuffle partitions is written by two tasks for each core at most, whatever its rows are."""
+    held = {"spark__sql__shuffle__partitions": "64", "spark__sql__adaptive__coalescePartitions__enabled": "false"}
+    with common.settings(spark, **held):
+        at_most = 2 * spark.sparkContext.defaultParallelism
+        df = spark.range(1000).groupBy((F.col("id") % 500).alias("k")).count()
+        kept = common.materialize(df, "few", 1000)
+        assert len(kept.inputFiles()) <= min(at_most, 64) and kept.count() == 500
+        assert len(common.materialize(df, "few", 64 * common.FILE_ROWS).inputFiles()) > at_most
+        made = []
+        with common.noting(made):
+            common.components(spark.createDataFrame([(i, i % 7) for i in range(7, 700)], "a long, b long"), rows=700)
+        assert len(spark.read.parquet(made[-1]).inputFiles()) <= at_most

@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,6 +41,8 @@ BLOCK, BINS = 256, 512
 RARITY = 1 << 18
 #: Words of the second text that are aligned with one window of the first.
 ROWS = 512
+#: Rows of other tables that take as long as a pair to be verified.
+PAIR_ROWS = 8
 _seeds = shingles.mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -135,9 +136,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words binary, size int, keys array<long>")
 
 
-def hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def hashed(docs: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFrame:
     """id and words (hashes of 32 bits, in the text's order) of the documents that ids (doc_id) names, worked out once each."""
-    texts = common.texts_of(docs, common.materialize(ids.distinct(), "ids"))
+    texts = common.texts_of(docs, common.materialize(ids.distinct(), "ids", rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.enter("shingles")
@@ -148,10 +149,11 @@ def hashed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return common.materialize(texts.mapInArrow(run, "id long, words binary"), "hashes")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) that are near-duplicates. Only the words of documents in pairs are moved."""
-    pairs = common.materialize(pairs.select("a", "b").distinct(), "pairs")
-    words = hashed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+def verify(pairs: DataFrame, docs: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """Those of the pairs (a, b), of about so many rows, that are near-duplicates, as a scratch table. Only the words of documents in pairs are moved."""
+    pairs = common.materialize(pairs.select("a", "b").distinct(), "pairs", rows)
+    n = pairs.count()
+    words = hashed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), 2 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +162,8 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     first = words.select(F.col("id").alias("a"), F.col("words").alias("s"))
     second = words.select(F.col("id").alias("b"), F.col("words").alias("t"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    near = pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return common.materialize(near, "verified", PAIR_ROWS * n)
 
 
 def linked(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, words: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -189,9 +192,9 @@ def linked(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, words: list[np
 
 
 def several(rows: DataFrame) -> DataFrame:
-    """Of rows (key, id, size, root) those whose key has several roots, with n, the members of the key."""
+    """Of rows (key, id, size, root) of a scratch table those whose key has several roots, with n, the members of the key."""
     keys = mixed_keys(rows)
-    return common.materialize(rows.join(keys.select("key", "n"), "key").select("key", "id", "size", "root", "n"), "several")
+    return common.materialize(rows.join(keys.select("key", "n"), "key").select("key", "id", "size", "root", "n"), "several", rows.count())
 
 
 def mixed_keys(rows: DataFrame) -> DataFrame:
@@ -200,14 +203,17 @@ def mixed_keys(rows: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that join the components within the keys of rows (key, id, root, side), of about BLOCK members on each side at most."""
-    words = hashed(docs, rows.select(F.col("id").alias("doc_id")))
+    """Pairs (a, b) that join the components within the keys of rows (key, id, root, side), of about BLOCK members on each side at most, as a scratch table."""
+    n = rows.count()
+    words = hashed(docs, rows.select(F.col("id").alias("doc_id")), n)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        pairs = linked(g["id"].to_numpy(), g["root"].to_numpy(), g["side"].to_numpy(), [np.frombuffer(w, "<u4") for w in g["words"]], threshold)
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+    def run(g: pa.Table) -> pa.Table:
+        ids, roots, sides = (g.column(c).to_numpy() for c in ("id", "root", "side"))
+        pairs = linked(ids, roots, sides, [np.frombuffer(w, "<u4") for w in g.column("words").to_pylist()], threshold)
+        return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("key", "id", "root", "side").join(words, "id").groupBy("key").applyInPandas(run, "a long, b long")
+    met = rows.select("key", "id", "root", "side").join(words, "id").groupBy("key").applyInArrow(run, "a long, b long")
+    return common.materialize(met, "across", BLOCK * n)
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
@@ -246,8 +252,9 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[Data
     one more, hold a common one. Ordered by rarity they have few documents, and are not those of a passage that
     thousands share; only texts that frequent pairs fill to 2 * t - 1 or more have some of those among the first ones.
     """
-    ids = common.materialize(rows.select("id", "size", "root").distinct(), "ids")
-    words = common.materialize(hashed(docs, ids.select(F.col("id").alias("doc_id"))).join(ids, "id"), "rooted")
+    ids = common.materialize(rows.select("id", "size", "root").distinct(), "ids", rows.count())
+    members = ids.count()
+    words = common.materialize(hashed(docs, ids.select(F.col("id").alias("doc_id")), members).join(ids, "id"), "rooted", members)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(RARITY, np.int64)
@@ -274,8 +281,8 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[Data
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(b.column(c).take(pa.array(each)) for c in ("id", "size", "root"))], ["key", "id", "size", "root"])
 
     rare = common.materialize(words.select("id", "size", "root", "words").mapInArrow(first, "key long, id long, size int, root long"), "rare")
-    keys = common.materialize(mixed_keys(rare), "mixed")
-    few = common.materialize(rare.join(keys.where(F.col("n") <= BLOCK), "key").select("key", "id", "size", "root"), "several")
+    keys = common.materialize(mixed_keys(rare), "mixed", rare.count())
+    few = common.materialize(rare.join(keys.where(F.col("n") <= BLOCK), "key").select("key", "id", "size", "root"), "several", rare.count())
     full = np.zeros(RARITY, bool)
     for r in keys.where(F.col("n") > BLOCK).select(F.pmod("key", F.lit(RARITY)).alias("at")).distinct().collect():  # RARITY rows at most
         full[r.at] = True
@@ -286,20 +293,24 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[Data
             yield b.filter(pa.array(told.value[b.column("key").to_numpy() % RARITY])).select(["id", "size", "root"])
 
     crowd = rare.limit(0).select("id", "size", "root") if not full.any() else rare.mapInArrow(crowded, "id long, size int, root long").distinct()
-    return few, common.materialize(crowd, "crowd")
+    return few, common.materialize(crowd, "crowd", members)
 
 
 def links(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) of the buckets in rows (key, id, size), enough to join all that are near-duplicates.
+    """Pairs (a, b) of the buckets in rows (key, id, size), enough to join all that are near-duplicates.
+
+    A pair is verified, or joins a document to the least one of those that verified pairs join it to: so each
+    search for components goes on from the one before.
 
     A bucket of at most SMALL members is compared in full, which is fewer than SMALL pairs a member. In a larger one
     all members are compared with its hub, the one with most company over all buckets: the original of a group of
     edited copies is nearer to each copy than copies are to each other. Where that leaves several components, members
     outside a second hub's are compared with it, and what is left by across().
     """
-    sizes = common.materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    sizes = common.materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes", rows.count())
     with common.settings(rows.sparkSession, **common.BLOOM):
-        rows = common.materialize(rows.join(sizes.where("n > 1"), "key").select("key", "id", "size", "n"), "buckets")
+        rows = common.materialize(rows.join(sizes.where("n > 1"), "key").select("key", "id", "size", "n"), "buckets", rows.count())
+    n = rows.count()
     few = rows.where(F.col("n") <= SMALL)
     pairs = few.select("key", F.col("id").alias("a"), F.col("size").alias("s")).join(few.select("key", F.col("id").alias("b"), F.col("size").alias("t")), "key").where("a > b").where(near_sizes(F.col("s"), F.col("t"), threshold)).select("a", "b")
     many = rows.where(F.col("n") > SMALL)
@@ -307,48 +318,56 @@ def links(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     if crowded:
         company = many.groupBy("id", "size").agg(F.sum("n").alias("company"), F.collect_list("key").alias("keys"))  # BANDS keys at most
         best = company.select("id", "size", "company", F.explode("keys").alias("key")).groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("less"), "size")).alias("best"))
-        hubs = common.materialize(best.select("key", (-F.col("best.less")).alias("hub"), F.col("best.size").alias("hub_size")), "hubs")
+        hubs = common.materialize(best.select("key", (-F.col("best.less")).alias("hub"), F.col("best.size").alias("hub_size")), "hubs", n)
         members = many.join(hubs, "key").where("id <> hub").where(near_sizes(F.col("size"), F.col("hub_size"), threshold))
         pairs = pairs.unionByName(members.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")))
-    found = common.materialize(verify(pairs, docs, threshold), "verified")
+    found = verify(pairs, docs, threshold, n)
     if not crowded:
         return found
 
-    def rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-        roots = common.materialize(common.components(found, "hubbed"), "roots")
+    def starred(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        roots = common.materialize(common.components(found, name, n), "roots", n)
+        return roots, roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+    def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
         # a row for each document, not for each of its keys (BANDS at most)
         once = members.groupBy("id", "size").agg(F.collect_list("key").alias("keys"))
         named = once.join(roots, once["id"] == roots["node"], "left").select(F.explode("keys").alias("key"), "id", "size", F.coalesce("root", "id").alias("root"))
-        return several(common.materialize(named, "rooted"))
+        return several(common.materialize(named, "rooted", n))
 
-    mixed = rooted(many, found)
+    roots, found = starred(found, "hubbed")
+    mixed = rooted(many, roots)
+    if mixed.isEmpty():
+        return found
     hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("order"), F.col("id").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size"))).alias("h")).select("key", "h.*")
-    members = mixed.join(common.materialize(hubs, "hubs"), "key").where("root <> hub_root").where(near_sizes(F.col("size"), F.col("hub_size"), threshold))
-    found = found.unionByName(common.materialize(verify(members.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")), docs, threshold), "verified"))
-    mixed = rooted(mixed.select("key", "id", "size"), found)  # a key of one component stays one
+    members = mixed.join(common.materialize(hubs, "hubs", n), "key").where("root <> hub_root").where(near_sizes(F.col("size"), F.col("hub_size"), threshold))
+    found = found.unionByName(verify(members.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")), docs, threshold, n))
+    roots, found = starred(found, "hubbed")
+    mixed = rooted(mixed.select("key", "id", "size"), roots)  # a key of one component stays one
     large = mixed.where(F.col("n") > BLOCK)
     rest = mixed.where(F.col("n") <= BLOCK)
     crowd = None
     if not large.isEmpty():
         few, crowd = rare_pairs(large, docs, threshold)
         rest = rest.select("key", "id", "size", "root").unionByName(few)
-    found = found.unionByName(common.materialize(across(rest.withColumn("side", F.lit(-1)), docs, threshold), "across"))
+    found = found.unionByName(across(common.materialize(rest.withColumn("side", F.lit(-1)), "rest"), docs, threshold))
     if crowd is None or crowd.isEmpty():
         return found
-    roots = common.materialize(common.components(found, "crossed"), "roots")  # what is joined by now is not compared again
-    crowd = common.materialize(crowd.join(roots, crowd["id"] == roots["node"], "left").select("id", F.coalesce(roots["root"], "id").alias("root")), "crowd")
-    return found.unionByName(common.materialize(across(common.materialize(in_blocks(crowd), "blocks"), docs, threshold), "across"))
+    roots, found = starred(found, "crossed")  # what is joined by now is not compared again
+    crowd = common.materialize(crowd.join(roots, crowd["id"] == roots["node"], "left").select("id", F.coalesce(roots["root"], "id").alias("root")), "crowd", n)
+    return found.unionByName(across(common.materialize(in_blocks(crowd), "blocks"), docs, threshold))
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """classes() of documents whose doc_ids all differ."""
     sketches = common.materialize(sketch(docs), "sketches")
+    n = sketches.count()
     worded = sketches.where("words is not null")
-    copies = common.materialize(worded.groupBy("words").agg(F.min("doc_id").alias("rep")), "copies")
-    members = common.materialize(worded.select("doc_id", "words").join(copies, "words").select("doc_id", "rep"), "members")
+    copies = common.materialize(worded.groupBy("words").agg(F.min("doc_id").alias("rep")), "copies", n)
+    members = common.materialize(worded.select("doc_id", "words").join(copies, "words").select("doc_id", "rep"), "members", n)
     firsts = worded.join(copies.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     rows = common.materialize(firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "size"), "bands")
-    roots = common.components(links(rows, docs, threshold), "classes")
+    roots = common.components(links(rows, docs, threshold), "classes", n)
     named = members.join(roots, members["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     return named.unionByName(sketches.where("words is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
