@@ -19,6 +19,7 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ _words = re.compile(r"[^\W\d_]+")
 def letters(match: re.Match) -> list[tuple[int, int]]:
     """(start, end) of the runs of letters (Unicode category L) in a match, which may hold number signs such as a superscript."""
     w = match.group()
+    if w.isalpha():
+        return [match.span()]
     edges = [0, *(i for i in range(1, len(w)) if w[i - 1].isalpha() != w[i].isalpha()), len(w)]
     return [(match.start() + a, match.start() + b) for a, b in zip(edges, edges[1:]) if w[a].isalpha()]
 
@@ -78,7 +81,11 @@ def script(word: str) -> str:
 def grams(word: str) -> list[str]:
     """The n-grams of a lower-case word between its edges."""
     w = f"<{word}>"
-    return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1)]
+    out = level = list(w)
+    for n in ORDERS[1:]:  # each order is one more than the one before
+        level = list(map(str.__add__, level, w[n - 1 :]))
+        out = out + level
+    return out
 
 
 def fit(rows: list[tuple[str, str]]) -> dict:
@@ -113,6 +120,7 @@ class Labeller:
         self.cache_words = cache_words
         self.languages, self.candidates = model["languages"], model["candidates"]
         self.usual = self.languages.index(model["usual"]) if self.languages else None
+        self.some, self.all = ({name for name, c in self.candidates.items() if told(c)} for told in (np.any, np.all))
         self.grams = {g: k for k, g in enumerate(model["weights"])}
         self.weights = np.array([*model["weights"].values(), np.zeros(len(self.languages))]).reshape(len(self.grams) + 1, len(self.languages))
         self.index: dict[str, int] = {}
@@ -130,18 +138,18 @@ class Labeller:
         for w in words:
             starts.append(len(flat))
             flat.append(none)
-            flat += [get(g, none) for g in grams(w.lower())]
+            flat += map(get, grams(w.lower()), repeat(none))
         self.index.update(zip(words, range(first, last)))
         s = np.add.reduceat(self.weights[flat], starts, axis=0) / max(ORDERS)
         tells = np.ptp(s, axis=1) > 0
-        nothing = np.zeros(len(self.languages), bool)
         for k, w in enumerate(words):
             name = "latin" if w[0] <= "\u024f" else script(w)
-            may = self.candidates.get(name, nothing)
-            if not may.any():
+            if name in self.all:
+                continue
+            if name not in self.some:
                 s[k], tells[k] = 0, False
-            elif not may.all():
-                s[k][~may] = -1e3
+            else:
+                s[k][~self.candidates[name]] = -1e3
                 tells[k] = True
         self.table[first:last], self.lengths[first:last] = s, list(map(len, words))
         self.told[first:last] = tells if len(self.languages) > 1 else True
@@ -166,18 +174,19 @@ class Labeller:
         low = np.minimum.accumulate(np.vstack((np.zeros((1, s.shape[1])), total[:-1])), axis=0)
         if (total - low).max() <= SWITCH:
             return np.full(len(s), best)
-        value, back = s[0].copy(), np.empty(s.shape, np.int32)
-        stay = np.arange(s.shape[1])
-        for i in range(1, len(s)):
-            top = int(value.argmax())
-            switch = value[top] - SWITCH
-            back[i] = np.where(value >= switch, stay, top)
-            value = np.maximum(value, switch) + s[i]
-        out = np.empty(len(s), np.int64)
-        out[-1] = value.argmax()
-        for i in range(len(s) - 1, 0, -1):
-            out[i - 1] = back[i, out[i]]
-        return out
+        rows, back = s.tolist(), []
+        value = rows[0]
+        for row in rows[1:]:  # few languages: lists are faster than arrays
+            most = max(value)
+            top, switch = value.index(most), most - SWITCH
+            back.append([k if v >= switch else top for k, v in enumerate(value)])
+            value = [(v if v >= switch else switch) + x for v, x in zip(value, row)]
+        at = value.index(max(value))
+        out = [at]
+        for step in reversed(back):
+            at = step[at]
+            out.append(at)
+        return np.array(out[::-1], np.int64)
 
     def label(self, text: str) -> tuple[str, float, np.ndarray, list[int]]:
         """(language, score, labels of the words, where runs of one language begin and end in them)."""
