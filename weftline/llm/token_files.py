@@ -34,6 +34,8 @@ MAGIC = b"S8BIDS01"
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = 15
 BLOCK_IDS, END_ID = 1 << 16, 2
+#: Characters from which on texts are encoded together.
+BATCH_CHARS = 6_000_000
 _counts = np.array([0, *(c for c, _ in WIDTHS), 0, 1], np.int64)  # by selector; 0 and 14 are free
 
 
@@ -42,16 +44,16 @@ def pack_words(codes: np.ndarray) -> np.ndarray:
     codes = codes.astype(np.uint64)
     n = len(codes)
     selector = np.full(n, ESCAPE, np.int64)
+    low, wide = np.minimum(codes, np.uint64(1 << 30)).astype(np.uint32), np.zeros(n + 1, np.int32)  # the widest width has 30 bits
     for s in range(len(WIDTHS), 0, -1):
         count, bits = WIDTHS[s - 1]
         if count > n:
             continue
-        wide = np.zeros(n + 1, np.int32)
-        np.cumsum(codes >> np.uint64(bits) != 0, out=wide[1:])
+        np.cumsum(low >= 1 << bits, out=wide[1:])
         fits = wide[count:] == wide[: n + 1 - count]
         if not fits.any():
             break  # narrower widths with more codes can't fit either
-        selector[: n + 1 - count][fits] = s
+        np.putmask(selector[: n + 1 - count], fits, s)
     steps, at, i = _counts[selector].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -190,6 +192,20 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def many(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """doc_ids and texts of batches, put together up to BATCH_CHARS: a piece that many of them have is looked up once."""
+    docs, texts, held = [], [], 0
+    for b in batches:
+        docs += b.column("doc_id").to_pylist()
+        texts += (new := b.column("text").to_pylist())
+        held += sum(map(len, new))
+        if held >= BATCH_CHARS:
+            yield docs, texts
+            docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Write every document's ids, and end_id after each, to files in the shared folder; returns their list.
 
@@ -206,8 +222,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files:
         store, at = open_folder(folder)
         name, mine = f"part-{task.partitionId():06d}.s8b", f"{at}/.{task.partitionId()}-{task.taskAttemptId()}"
         sink = writer = None
-        for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist())):
+        for docs, texts in many(batches):
+            for doc, ids in zip(docs, encode(texts)):
                 if writer is None:
                     store.create_dir(at, recursive=True)
                     sink = store.open_output_stream(mine)
