@@ -120,8 +120,8 @@ def near_sizes(a: Column, b: Column, threshold: float) -> Column:
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, words (hash of the word sequence; null without words), size (words) and keys (one for each band) of every document."""
 
+    @common.task("shingles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.enter("shingles")
         for b in batches:
             words, keys, sizes = [], [], []
             for t in b.column("text").to_pylist():
@@ -140,8 +140,8 @@ def hashed(docs: DataFrame, ids: DataFrame, rows: int | None = None) -> DataFram
     """id and words (hashes of 32 bits, in the text's order) of the documents that ids (doc_id) names, worked out once each."""
     texts = common.texts_of(docs, common.materialize(ids.distinct(), "ids", rows))
 
+    @common.task("shingles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.enter("shingles")
         for b in batches:
             words = [shingles.word_hashes(t).astype(np.uint32).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.binary())], ["id", "words"])
@@ -155,6 +155,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, rows: int) -> Da
     n = pairs.count()
     words = hashed(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), 2 * n)
 
+    @common.task("shingles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [similarity(np.frombuffer(s.as_py(), "<u4"), np.frombuffer(t.as_py(), "<u4"), threshold) >= threshold for s, t in zip(b.column("s"), b.column("t"))]
@@ -208,6 +209,7 @@ def across(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     words = hashed(docs, rows.select(F.col("id").alias("doc_id")), n)
 
     def run(g: pa.Table) -> pa.Table:
+        common.enter("shingles")
         ids, roots, sides = (g.column(c).to_numpy() for c in ("id", "root", "side"))
         pairs = linked(ids, roots, sides, [np.frombuffer(w, "<u4") for w in g.column("words").to_pylist()], threshold)
         return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -256,6 +258,7 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[Data
     members = ids.count()
     words = common.materialize(hashed(docs, ids.select(F.col("id").alias("doc_id")), members).join(ids, "id"), "rooted", members)
 
+    @common.task("shingles")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(RARITY, np.int64)
         for b in batches:
@@ -268,6 +271,7 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[Data
         often[r.at] = r.n
     sent = docs.sparkSession.sparkContext.broadcast(often)
 
+    @common.task("shingles")
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, counts = [np.empty(0, np.uint64)], []
@@ -288,6 +292,7 @@ def rare_pairs(rows: DataFrame, docs: DataFrame, threshold: float) -> tuple[Data
         full[r.at] = True
     told = docs.sparkSession.sparkContext.broadcast(full)
 
+    @common.task("shingles")
     def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # and a few whose key shares a bit with theirs
         for b in batches:
             yield b.filter(pa.array(told.value[b.column("key").to_numpy() % RARITY])).select(["id", "size", "root"])

@@ -131,6 +131,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = SEQUENCE, end_id: int
     """One row for each piece with its ids' checksum; a piece that fills a sequence has a number for it, below 0. kept bounds a worker's cache."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @common.task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.PieceEncoder(path, tokens.as_bytes, b"".join, kept=kept)
         own = TaskContext.get().partitionId() << 40

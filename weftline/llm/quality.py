@@ -140,6 +140,7 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tupl
     ids = docs.select("doc_id").distinct().join(labels, "doc_id")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
 
+    @common.task("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in half(*_features(b))], pa.binary())], ["doc_id", "y", "x"])
@@ -173,6 +174,7 @@ def surest_rows(docs: DataFrame, labels: DataFrame, model: dict, good: float, us
     """
     sent = docs.sparkSession.sparkContext.broadcast((model, used))
 
+    @common.task("quality")
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, used = sent.value
         for b in batches:
@@ -199,6 +201,7 @@ def surest_rows(docs: DataFrame, labels: DataFrame, model: dict, good: float, us
     ids = docs.sparkSession.createDataFrame(sorted({(r.doc_id,) for r in top}), "doc_id long")
     asked = docs.sparkSession.sparkContext.broadcast(set(wanted))
 
+    @common.task("quality")
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [r.tobytes() for r in half(*_features(b))]
@@ -234,6 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     model, share = learn(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @common.task("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if sent.value is None:
@@ -252,4 +256,9 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
     if model is None:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return common.keep_rows(docs, lambda: lambda b: (score(sent.value, *_features(b))[2] >= threshold).tolist())
+
+    def prepare():
+        common.enter("quality")
+        return lambda b: (score(sent.value, *_features(b))[2] >= threshold).tolist()
+
+    return common.keep_rows(docs, prepare)
