@@ -77,3 +77,26 @@ def test_packed_words_hold_any_code():
     codes = np.concatenate((codes, np.array([0, 1, (1 << 30) - 1, 1 << 30, (1 << 32) - 1, 1 << 32, (1 << 60) - 1], np.uint64)))
     for some in (codes, np.sort(codes), codes[:0], codes[:1]):
         assert np.array_equal(token_files.unpack_words(token_files.pack_words(some)), some)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_missing_pieces_are_worked_on_a_few_at_a_time(monkeypatch, name):
+    texts = [f"Word{i} one, two{i}\nthree 4{i} " + "x" * (i % 60) for i in range(200)]
+    whole = tokens.PieceEncoder(P.path(name), tokens.as_bytes, b"".join, key="whole")(texts)
+    most, add = [], tokens.PieceEncoder._add_some
+    monkeypatch.setattr(tokens, "ADDED", 16)
+    monkeypatch.setattr(tokens.PieceEncoder, "_add_some", lambda self, cache, new, prefix: (most.append(len(new)), add(self, cache, new, prefix))[1])
+    few = tokens.PieceEncoder(P.path(name), tokens.as_bytes, b"".join, key="few")
+    assert few(texts) == whole and max(most) <= 16
+    assert not any(len(p) > tokens.CACHE_CHARS for p in [*few.head, *few.tail])
+
+
+def test_many_token_files_take_one_table_file_and_few_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} of many") for i in range(400)], "doc_id long, text string")
+    listed = token_files.write(docs, str(tmp_path), P.path("word_bpe_49k.json"), files=40)
+    assert listed.count() == 40 and len(list((tmp_path / "_list").glob("*.parquet"))) == 1
+    found = token_files.read(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    rows = sorted(found.collect())
+    assert [r.doc_id for r in rows] == list(range(400)) and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(400)]
+    assert token_files.FILE_PIECES < tokens.CACHE_PIECES

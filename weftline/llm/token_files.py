@@ -34,6 +34,8 @@ MAGIC = b"S8BIDS01"
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = 15
 BLOCK_IDS, END_ID = 1 << 16, 2
+#: Pieces that a worker keeps here: their caches and one batch's pieces leave an executor room for a heap that has grown to its limit.
+FILE_PIECES = 900_000
 #: Characters from which on texts are encoded together.
 BATCH_CHARS = 6_000_000
 _counts = np.array([0, *(c for c, _ in WIDTHS), 0, 1], np.int64)  # by selector; 0 and 14 are free
@@ -216,8 +218,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files:
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([end_id], "<u4").tobytes()
 
+    @common.task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.PieceEncoder(path, tokens.as_bytes, b"".join)
+        encode = tokens.PieceEncoder(path, tokens.as_bytes, b"".join, kept=FILE_PIECES)
         task = TaskContext.get()
         store, at = open_folder(folder)
         name, mine = f"part-{task.partitionId():06d}.s8b", f"{at}/.{task.partitionId()}-{task.taskAttemptId()}"
@@ -240,7 +243,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files:
 
     ordered = common.id_text(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     listed = ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long, n_bytes long")
-    listed.write.parquet(f"{folder}/_list")
+    # one row for each file, so one table file holds them all: for each one an executor starts processes to set its rights
+    listed.repartition(1).write.parquet(f"{folder}/_list")
     return spark.read.schema(listed.schema).parquet(f"{folder}/_list")
 
 
@@ -268,6 +272,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         part = slice(i, i + 50_000)
                         yield pa.RecordBatch.from_arrays([pa.array(reader.docs[part]), pa.array(first[part]), pa.array(reader.sizes[part]), pa.array(crcs[part], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a task for FILE_ROWS documents, but two for each core at least, and no more than there are files
+    files, rows = listed.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    n = max(1, min(files, max(2 * spark.sparkContext.defaultParallelism, -(-rows // common.FILE_ROWS))))
     dealt = starts.repartitionById(n, F.pmod("part", F.lit(n)).cast("int"))
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
