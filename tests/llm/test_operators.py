@@ -493,6 +493,23 @@ def test_substring_dedup(spark, odd):
     assert substring_dedup.remove(odd).columns == odd.columns
 
 
+def test_passages_leave_no_shuffle_files(spark):
+    """What the steps shuffle goes with them; the driver's garbage doesn't decide."""
+    texts = [f"{prose(10 + k, 60)} {prose(77, 80)} {prose(30 + k, 40)}" for k in range(6)]
+    docs = table(spark, texts)
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    count = lambda: sum(shuffles().apply(i).getName().startswith("shuffle_") for i in range(shuffles().size()))
+    before = count()
+    found = substring_dedup.passages(docs)
+    for _ in range(100):
+        if count() <= before:
+            break
+        time.sleep(0.05)
+    assert count() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 3, 4, 5]
+
+
 def test_passages_without_sentences(spark):
     """Runs of 49 to 80 words in text without a full stop: what goes is what brute force over words finds."""
     r = np.random.default_rng(3)
