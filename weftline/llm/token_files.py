@@ -243,7 +243,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files:
 
     ordered = common.id_text(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     listed = ordered.mapInArrow(run, "part int, file string, n_docs long, n_ids long, n_bytes long")
-    # one row for each file, so one table file holds them all: for each one an executor starts processes to set its rights
+    # one row for each file, so one table file holds them all; on a local file system each one may make an executor start processes
     listed.repartition(1).write.parquet(f"{folder}/_list")
     return spark.read.schema(listed.schema).parquet(f"{folder}/_list")
 
