@@ -162,6 +162,19 @@ def test_readability_counts(spark):
         assert abs(r.fog - 0.4 * (len(words) / sentences + 100 * sum(s >= 3 for s in syl) / len(words))) < 1e-5
 
 
+def test_sentences_keep_their_digits_and_lose_all_spaces(spark, tmp_path):
+    """A sentence that begins with the digits of its own number keeps them; white space is what SQL takes for it."""
+    texts = ["Zero. 1 one. 2 two. 3 three 3.\n 4", "a. \u00a0\u3000b\u2003\n \n  c  ", "a.\x0bb. c!\x0b d\r\ne? \tf", "\u00a0", ". . !", "", None]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("x16_sentences", "x33_distil"):
+        got = sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(c.execute(catalogue.ORACLES[name]).fetchall()) and got
+    got = spark.createDataFrame([(texts[0],)], "t string").select(X.sentences(F.col("t"))).first()[0]
+    assert got == ["Zero.", "1 one.", "2 two.", "3 three 3.", "4"]
+
+
 def test_overlaps_count_all_but_the_usual_words(spark, tmp_path):
     texts = ["Before all that, about more of the tree", "about all of it more than before", "that is the stone", "don't"]
     spark.createDataFrame([*enumerate(texts)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
