@@ -118,3 +118,15 @@ def test_hand_made_families(spark):
     rows = [(1, 1, "steel tea pot"), (1, 2, "tea pot"), (1, 3, "tea pots"), (1, 4, "garden"), (1, 5, "gardens"), (1, 6, "wide garden"), (1, 7, "click here")]
     kept, _ = A.families(spark.createDataFrame(rows, "destination long, source long, anchor string"))
     assert [(f.canonical, f.sources, f.n_variants) for f in kept.orderBy("rank").collect()] == [("steel tea pot", 3, 3), ("wide garden", 3, 3)]
+
+
+def test_keys_are_never_broadcast(spark, tmp_path):
+    """A table of keys is many times its file, so its file's size says nothing of the driver's memory; and keys of one text alone stay out of joins."""
+    words = [["red", "cup"], ["red", "cups"], ["wide", "garden"]]
+    spark.createDataFrame([(d, 10 * d + i, w) for d in range(5) for i, w in enumerate(words)], "destination long, id long, words array<string>").write.parquet(f"{tmp_path}/named")
+    links = A.hub_links(spark.read.parquet(f"{tmp_path}/named"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, links.collect())) == [(10 * d + 1, 10 * d) for d in range(5)]
+    keyed = [f for f in links.inputFiles() if "/keyed-" in f]
+    assert spark.read.parquet(*keyed).count() == 10  # two texts have one key in common

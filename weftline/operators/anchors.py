@@ -12,7 +12,10 @@ Components need no pairs. Every variant has keys, and each key has a hub that be
 * a whole text, or a single word, as what a longer one leaves when it loses a letter or an end word: the hub is the
   variant of just that text.
 
-So there are as many links as keys, however many variants of a destination share a word.
+So there are as many links as keys, however many variants of a destination share a word. Keys are made once for each
+different text, and those that no other text has go before they meet the destinations.
+
+Joins name the merge: a table of keys is many times its Parquet file, by whose size Spark would take it for a broadcast.
 """
 
 from __future__ import annotations
@@ -75,16 +78,24 @@ def variants(rows: DataFrame, noise: bool = True) -> DataFrame:
     sources = rows.groupBy("destination", "words").agg(F.countDistinct("source").alias("sources"))
     best = F.struct(-F.col("n"), F.lower("anchor"), "anchor")
     display = rows.groupBy("destination", "words", "anchor").agg(F.count("*").alias("n")).groupBy("destination", "words").agg(F.min_by(F.struct("anchor", "n"), best).alias("d"))
-    out = sources.join(display, ["destination", "words"]).join(total, "destination")
+    out = sources.join(display.hint("merge"), ["destination", "words"]).join(total.hint("merge"), "destination")
     out = out.select("destination", "words", "sources", "usable", F.col("d.anchor").alias("display"), F.col("d.n").alias("shown"))
     return out.withColumn("place", F.struct((-F.col("sources")).alias("a"), (-F.size("words")).alias("b"), (-F.col("shown")).alias("c"), F.lower("display").alias("d"), F.col("words").alias("e")))
 
 
+def text_keys(named: DataFrame) -> DataFrame:
+    """words, key, short of the different texts in named, as a table."""
+    return written(named.select("words").distinct().select("words", F.explode(keys(F.col("words"))).alias("k")).select("words", "k.key", "k.short"), "keys")
+
+
 def hub_links(named: DataFrame) -> DataFrame:
     """src and dst: every variant (id) with the least hub of each of its keys."""
-    keyed = named.select("destination", "id", F.explode(keys(F.col("words"))).alias("k")).select("destination", "id", "k.key", "k.short")
+    of_text = text_keys(named)
+    # a link is between two texts that have a key, one of them as its hub
+    met = of_text.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("short").alias("has_hub")).where("n > 1 AND has_hub").select("key")
+    keyed = written(named.select("destination", "id", "words").join(of_text.join(met.hint("merge"), "key").hint("merge"), "words").select("destination", "id", "key", "short"), "keyed")
     hubs = keyed.where("short").groupBy("destination", "key").agg(F.min("id").alias("hub"))
-    return keyed.join(hubs, ["destination", "key"]).where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
+    return keyed.join(hubs.hint("merge"), ["destination", "key"]).where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
 
 
 def families(rows: DataFrame, noise: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -95,15 +106,15 @@ def families(rows: DataFrame, noise: bool = True) -> tuple[DataFrame, DataFrame]
     """
     found = variants(rows, noise)
     named = written(found.withColumn("id", F.xxhash64(F.col("destination").cast("string"), "words")), "variants")
-    joined = named.join(graph.labels(hub_links(named)), F.col("id") == F.col("node"), "left").withColumn("family", F.coalesce("root", "id"))
+    joined = named.join(graph.labels(hub_links(named)).hint("merge"), F.col("id") == F.col("node"), "left").withColumn("family", F.coalesce("root", "id"))
     members = written(joined.select("destination", "family", "words", "display", "sources", "usable", "place"), "members")
     usable = rows.select("destination", "source", content(F.col("anchor")).alias("words"))
-    support = usable.join(members.select("destination", "words", "family"), ["destination", "words"]).groupBy("destination", "family").agg(F.countDistinct("source").alias("sources"))
+    support = usable.join(members.select("destination", "words", "family").hint("merge"), ["destination", "words"]).groupBy("destination", "family").agg(F.countDistinct("source").alias("sources"))
     told = members.groupBy("destination", "family").agg(F.min_by(F.struct("display", "words"), "place").alias("first"), F.count("*").alias("n_variants"), F.first("usable").alias("usable"))
-    told = told.join(support, ["destination", "family"]).select("destination", "family", F.col("first.display").alias("canonical"), F.col("first.words").alias("canonical_words"), (F.col("sources") / F.col("usable")).alias("share"), "sources", "n_variants", "usable")
+    told = told.join(support.hint("merge"), ["destination", "family"]).select("destination", "family", F.col("first.display").alias("canonical"), F.col("first.words").alias("canonical_words"), (F.col("sources") / F.col("usable")).alias("share"), "sources", "n_variants", "usable")
     order = Window.partitionBy("destination").orderBy(F.desc("sources"), F.desc(F.size("canonical_words")), F.lower("canonical"), "family")
     kept = written(told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= FAMILIES), "families")
-    return kept, members.join(kept.select("destination", "family"), ["destination", "family"], "left_semi").drop("place")
+    return kept, members.join(kept.select("destination", "family").hint("merge"), ["destination", "family"], "left_semi").drop("place")
 
 
 def corroborate(candidates: DataFrame, rows: DataFrame, least_sources: int = LEAST_SOURCES, least_share: float = LEAST_SHARE, noise: bool = True) -> DataFrame:
@@ -114,20 +125,22 @@ def corroborate(candidates: DataFrame, rows: DataFrame, least_sources: int = LEA
     """
     kept, members = families(rows, noise)
     rank = F.struct((-F.col("share")).alias("a"), (-F.col("f_sources")).alias("b"), (-F.col("own")).alias("c"), F.lower("canonical").alias("d"))
-    known = members.select("destination", "family", "words", (F.col("sources") / F.col("usable")).alias("own")).join(kept.select("destination", "family", "canonical", "share", F.col("sources").alias("f_sources")), ["destination", "family"])
+    known = members.select("destination", "family", "words", (F.col("sources") / F.col("usable")).alias("own")).join(kept.select("destination", "family", "canonical", "share", F.col("sources").alias("f_sources")).hint("merge"), ["destination", "family"])
     known = written(known.select("destination", "words", "canonical", "share", "f_sources", "own", rank.alias("rank")), "known")
     asked = written(candidates.select("id", "destination", content(F.col("anchor")).alias("words"), F.concat(F.lit(" "), F.array_join(content(F.col("sentence")), " "), F.lit(" ")).alias("sentence")), "asked")
     best = lambda c: F.min_by(F.struct("canonical", "share", "f_sources", "own", "rank"), "rank").alias(c)
-    exact = asked.join(known, ["destination", "words"]).groupBy("id").agg(best("exact"))
+    exact = asked.join(known.hint("merge"), ["destination", "words"]).groupBy("id").agg(best("exact"))
     # the best variant of each key, and the best hub of it, stand for all: a candidate asks for one row a key
-    of_key = known.select("destination", F.explode(keys(F.col("words"))).alias("k"), "canonical", "share", "f_sources", "own", "rank").select("destination", "k.key", "k.short", "canonical", "share", "f_sources", "own", "rank")
+    theirs, ours = text_keys(known), text_keys(asked)
+    theirs, ours = (x.join(y.select("key").distinct().hint("merge"), "key", "left_semi") for x, y in ((theirs, ours), (ours, theirs)))
+    of_key = known.join(theirs.hint("merge"), "words").select("destination", "key", "short", "canonical", "share", "f_sources", "own", "rank")
     tops = of_key.groupBy("destination", "key").agg(best("any"), F.min_by(F.struct("canonical", "share", "f_sources", "own", "rank"), F.when(F.col("short"), F.col("rank"))).alias("hub"), F.bool_or("short").alias("has_hub"))
-    mine = asked.select("id", "destination", F.explode(keys(F.col("words"))).alias("k")).select("id", "destination", "k.key", "k.short")
-    near = mine.join(tops, ["destination", "key"]).where("short OR has_hub").select("id", F.when(F.col("short"), F.col("any")).otherwise(F.col("hub")).alias("f"))
+    mine = asked.select("id", "destination", "words").join(ours.hint("merge"), "words").select("id", "destination", "key", "short")
+    near = mine.join(tops.hint("merge"), ["destination", "key"]).where("short OR has_hub").select("id", F.when(F.col("short"), F.col("any")).otherwise(F.col("hub")).alias("f"))
     family = near.select("id", "f.*").groupBy("id").agg(best("family"))
-    held = asked.join(kept.select("destination", "canonical", "canonical_words", "rank"), "destination").where(F.contains(F.col("sentence"), F.concat(F.lit(" "), F.array_join("canonical_words", " "), F.lit(" ")))).groupBy("id").agg(F.min_by("canonical", "rank").alias("held"))
+    held = asked.join(kept.select("destination", "canonical", "canonical_words", "rank").hint("merge"), "destination").where(F.contains(F.col("sentence"), F.concat(F.lit(" "), F.array_join("canonical_words", " "), F.lit(" ")))).groupBy("id").agg(F.min_by("canonical", "rank").alias("held"))
     usable = kept.groupBy("destination").agg(F.max("usable").alias("usable"))
-    out = asked.join(usable, "destination", "left").join(exact, "id", "left").join(family, "id", "left").join(held, "id", "left")
+    out = asked.join(usable.hint("merge"), "destination", "left").join(exact.hint("merge"), "id", "left").join(family.hint("merge"), "id", "left").join(held.hint("merge"), "id", "left")
     ok = lambda c: F.coalesce(F.col(f"{c}.share") >= least_share, F.lit(False))
     state = (
         F.when(F.col("usable").isNull(), "neutral_no_learned_anchor_data")
