@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,15 @@ def test_title_anchor():
     assert P.title_anchor("We sell the red steel Widget today", "Red steel widget shop") == (12, 28, "red steel Widget", "strong")
     assert P.title_anchor("A widget and a gadget", "gadget or widget") == (2, 8, "widget", "weak")
     assert P.title_anchor("a cat", "cat") is None and P.title_anchor("", "x") is None
+
+
+def test_long_sentences_cost_their_matching_places_only():
+    """A sentence without breaks met many destinations: of its spans only those at shared words are looked at."""
+    text = " ".join(f"{some(k, 40)} lone{k}" for k in range(200))
+    phrases = [((f"here{k}", "alpha", "beta", "there"), k % 2) for k in range(20)]
+    began = time.process_time()
+    for _ in range(5):
+        got = P.match(text, phrases)
+    assert time.process_time() - began < 0.5
+    short = some(3, 60)
+    assert got[0] == "partial_below_threshold" and P.match(short, phrases) == by_all_spans(short, phrases, P.CONTEXT)
