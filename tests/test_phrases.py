@@ -12,6 +12,7 @@ from weftline.functions import phrases as P
 from weftline.functions import spans as S
 from weftline.functions.stem import stem, stem_set
 from weftline.operators import phrases as Q
+from weftline.plans.registry import QUERIES
 
 # Pairs of the published sample vocabulary.
 STEMS = """consign consign;consigned consign;consigning consign;consignment consign;consistency consist;consistently consist;consolation consol;consolatory consolatori;consolidate consolid
@@ -167,3 +168,16 @@ def test_long_sentences_cost_their_matching_places_only():
     assert time.process_time() - began < 0.5
     short = some(3, 60)
     assert got[0] == "partial_below_threshold" and P.match(short, phrases) == by_all_spans(short, phrases, P.CONTEXT)
+
+
+def test_a_pair_of_titles_is_told_once(spark, tmp_path):
+    """Parts of the same title, brand and size share one call, and their pairs are those of a loop."""
+    names = [("red bolt", "SMALL"), ("red bolt", "SMALL"), ("red ring", "LARGE"), (None, "SMALL"), ("a", None), ("red bolt", "SMALL")]
+    parts = [(i, n, f"B{i % 2 if i < 18 else None}", i % 3 if i != 19 else None, t) for i, (n, t) in enumerate(names * 4)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["x37_title_anchor"](spark, str(tmp_path))
+    title = lambda p: " ".join(x for x in (p[1], p[4]) if x is not None)
+    brute = [(h[0], d[0], *(P.title_anchor(f"Our new {title(h)} is here", title(d)) or (None,) * 4)) for h in parts for d in parts if h[0] != d[0] and h[2:4] == d[2:4] and h[3] is not None]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, brute)) and len(brute) > 30
+    asked = spark.createDataFrame([("red bolt", "red ring")] * 9 + [("red ring", "red bolt")], "host_title string, title string")
+    assert Q.title_anchors(asked).count() == 2
