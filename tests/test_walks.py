@@ -71,3 +71,24 @@ def test_vectors_tell_groups_apart(spark):
         same = np.mean([v[a] @ v[b] for a in v for b in v if a < b and (a < 100) == (b < 100)])
         other = np.mean([v[a] @ v[b] for a in v for b in v if a < 100 <= b])
         assert same > other + 0.1, (same, other)
+
+
+def test_rounds_read_edges_where_they_lie(spark, monkeypatch):
+    """Every round makes several draws for each walk, and shuffles no edges; the tables are gone in the end."""
+    plans, made, step, table = [], [], walks.advance, walks.bucketed
+
+    def seen(*args):
+        plans.append(step(*args))
+        return plans[-1]
+
+    def kept(*args):
+        made.append(table(*args))
+        return made[-1]
+
+    monkeypatch.setattr(walks, "advance", seen)
+    monkeypatch.setattr(walks, "bucketed", kept)
+    rows = walks.random_walks(spark.createDataFrame(EDGES, "src long, dst long, w double"), walks=2, length=4, p=P, q=Q).collect()
+    assert all(len(r.path) == 4 for r in rows) and len(plans) <= 6
+    text = plans[1]._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Bucketed: true") == 2 and text.count("ShuffledHashJoin") == 2
+    assert len(made) == 2 and not any(t.name.startswith(("steps_", "known_")) for t in spark.catalog.listTables())
