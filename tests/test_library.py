@@ -185,6 +185,21 @@ def test_overlaps_count_all_but_the_usual_words(spark, tmp_path):
     assert sorted(c.execute(catalogue.ORACLES["t3_top_k_by_overlap"]).fetchall()) == got
 
 
+def test_controls_are_compared_by_place(spark, tmp_path):
+    """Users of the same counts are one place; ties of rounded distances go to the least control, as in SQL."""
+    rows = [(u, e) for u in range(300) for e, n in (("view", 1 + u % 3), ("click", u // 10 % 2), ("error", 1)) for _ in range(n)]
+    events = spark.createDataFrame([(i, u, e) for i, (u, e) in enumerate(rows)], "event_id long, user_id long, event_type string")
+    for t in TABLES:
+        spark.range(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    events.select("event_id", F.lit("2024-01-03 00:00:00").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("{}").alias("props")).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    found = catalogue.QUERIES["r23_matched_controls"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted((r.item, r.control, r.dist) for r in found.collect()) == sorted(c.execute(catalogue.ORACLES["r23_matched_controls"]).fetchall())
+    held = [f for f in found.inputFiles() if "/controls-" in f]
+    assert spark.read.parquet(*held).count() == 6
+
+
 def test_state_of_windows_follows_event_time(spark, tmp_path):
     """Late events change a window, one that merges two tells the second with 0, and what the watermark passed goes."""
     folder = tmp_path / "in"
