@@ -4,6 +4,7 @@ import json
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,19 @@ def test_close_pairs(spark):
     assert [tuple(r) for r in vectors.close_pairs(rows, 0.96).collect()] == [(1, 2)]
 
 
+def test_no_close_pair_is_missed(spark):
+    """Against all pairs, over several blocks and tiles, with copies, a zero vector and cosines about the bound."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 16))
+    v = np.vstack([base + r.normal(size=base.shape) * x for x in (0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.4)] + [base[:5], np.zeros((1, 16))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<float>")
+    w, keep = v.astype(np.float64), sorted({tuple(x): i for i, x in reversed(list(enumerate(v.tolist())))}.values())
+    for least, block in ((0.9, 100), (0.96, 10_000)):
+        want = {(a, b) for a in keep for b in keep if a < b and w[a] @ w[b] >= least * np.sqrt((w[a] @ w[a]) * (w[b] @ w[b]))}
+        found = [tuple(x) for x in vectors.close_pairs(rows, least, block=block, tile=32).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"thread_id": 1, "title": "x"}\n\n{broken\n{"thread_id": 2}\n')
     assert sorted(r.thread_id for r in readers.json_lines(spark, str(tmp_path / "a.jsonl")).collect()) == [1, 2]
